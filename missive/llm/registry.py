@@ -1,9 +1,10 @@
 """Queries of the corpus operators and their SQL, by the name under which they are registered."""
 
-from missive.llm import decontamination
+from missive.llm import bpe, decontamination
 
 QUERIES = {
     "op1_decontamination": decontamination.op1_decontamination,
+    "op3_bpe": bpe.op3_bpe,
 }
 
 ORACLE_SQL = {
