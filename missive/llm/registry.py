@@ -1,9 +1,10 @@
 """Queries of the corpus operators and their SQL, by the name under which they are registered."""
 
-from missive.llm import bpe, decontamination
+from missive.llm import bpe, decontamination, quality
 
 QUERIES = {
     "op1_decontamination": decontamination.op1_decontamination,
+    "op2_quality": quality.op2_quality,
     "op3_bpe": bpe.op3_bpe,
 }
 
