@@ -1,12 +1,13 @@
 """Queries of the corpus operators and their SQL, by the name under which they are registered."""
 
-from missive.llm import bpe, decontamination, pii, quality
+from missive.llm import bpe, decontamination, fingerprint, pii, quality
 
 QUERIES = {
     "op1_decontamination": decontamination.op1_decontamination,
     "op2_quality": quality.op2_quality,
     "op3_bpe": bpe.op3_bpe,
     "op4_pii": pii.op4_pii,
+    "op5_fingerprint": fingerprint.op5_fingerprint,
 }
 
 ORACLE_SQL = {
