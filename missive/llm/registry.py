@@ -1,6 +1,6 @@
 """Queries of the corpus operators and their SQL, by the name under which they are registered."""
 
-from missive.llm import bpe, decontamination, fingerprint, langid, pii, quality
+from missive.llm import bpe, decontamination, fingerprint, langid, licenses, pii, quality
 
 QUERIES = {
     "op1_decontamination": decontamination.op1_decontamination,
@@ -9,6 +9,7 @@ QUERIES = {
     "op4_pii": pii.op4_pii,
     "op5_fingerprint": fingerprint.op5_fingerprint,
     "op6_langid": langid.op6_langid,
+    "op7_licenses": licenses.op7_licenses,
 }
 
 ORACLE_SQL = {
