@@ -82,16 +82,23 @@ class Model:
         return raw / raw.sum(axis=1, keepdims=True)
 
 
-def solve(bits: np.ndarray, labels: np.ndarray, languages: list[str]) -> Model:
-    """Nystrom kernel ridge regression of one-versus-rest targets on presence rows."""
-    x = bits / np.sqrt(np.maximum(bits.sum(axis=1, keepdims=True), 1))
+def _unpacked(packed: np.ndarray) -> np.ndarray:
+    """Presence rows of unit length from bitmaps."""
+    rows = np.unpackbits(packed, axis=1).astype(np.float32)
+    return rows / np.sqrt(np.maximum(rows.sum(axis=1, keepdims=True), 1))
+
+
+def solve(packed: np.ndarray, labels: np.ndarray, languages: list[str]) -> Model:
+    """Nystrom kernel ridge regression of one-versus-rest targets on bitmaps, which
+    are unpacked a few at a time."""
     # landmarks in turn from every language, so that none is without
     rank = np.zeros(len(labels), np.int64)
     for k in range(len(languages)):
         own = np.flatnonzero(labels == k)
         rank[own] = np.arange(len(own))
-    marks = x[np.lexsort((labels, rank))[:LANDMARKS]]
-    across, among = x @ marks.T, marks @ marks.T
+    marks = _unpacked(packed[np.lexsort((labels, rank))[:LANDMARKS]])
+    across = np.concatenate([_unpacked(packed[i : i + 128]) @ marks.T for i in range(0, len(packed), 128)])
+    among = marks @ marks.T
     target = np.where(labels[:, None] == np.arange(len(languages)), 1.0, -1.0)
     share = 1 / np.maximum(np.bincount(labels, minlength=len(languages)), 1)
     weight = share[labels][:, None] * len(labels) / len(languages)
@@ -115,8 +122,8 @@ def fit(rows: DataFrame) -> Model:
     sample = rows.filter(drawn).mapInArrow(_bitmaps, "doc_id long, lang string, bits binary").orderBy(F.xxhash64("doc_id"), "bits").limit(2 * SAMPLE_ROWS).collect()
     if not sample:
         return Model([], np.zeros((BUCKETS, 0), np.float32))
-    bits = np.unpackbits(np.frombuffer(b"".join(bytes(r["bits"]) for r in sample), np.uint8).reshape(len(sample), -1), axis=1).astype(np.float32)
-    return solve(bits, np.array([languages.index(r["lang"]) for r in sample]), languages)
+    packed = np.frombuffer(b"".join(bytes(r["bits"]) for r in sample), np.uint8).reshape(len(sample), -1)
+    return solve(packed, np.array([languages.index(r["lang"]) for r in sample]), languages)
 
 
 def identify(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
