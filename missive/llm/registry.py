@@ -1,6 +1,6 @@
 """Queries of the corpus operators and their SQL, by the name under which they are registered."""
 
-from missive.llm import bpe, decontamination, fingerprint, langid, licenses, pii, quality
+from missive.llm import bpe, decontamination, fingerprint, langid, licenses, minhash, pii, quality
 
 QUERIES = {
     "op1_decontamination": decontamination.op1_decontamination,
@@ -10,8 +10,10 @@ QUERIES = {
     "op5_fingerprint": fingerprint.op5_fingerprint,
     "op6_langid": langid.op6_langid,
     "op7_licenses": licenses.op7_licenses,
+    "op8_minhash": minhash.op8_minhash,
 }
 
 ORACLE_SQL = {
     "op1_decontamination": decontamination.OP1_SQL,
+    "op8_minhash": minhash.OP8_SQL,
 }
