@@ -1,6 +1,6 @@
 """Queries of the corpus operators and their SQL, by the name under which they are registered."""
 
-from missive.llm import bpe, decontamination, fingerprint, langid, licenses, linededup, minhash, pii, quality
+from missive.llm import bpe, decontamination, fingerprint, langid, licenses, linededup, minhash, ngramlm, pii, quality
 
 QUERIES = {
     "op1_decontamination": decontamination.op1_decontamination,
@@ -12,6 +12,7 @@ QUERIES = {
     "op7_licenses": licenses.op7_licenses,
     "op8_minhash": minhash.op8_minhash,
     "op9_linededup": linededup.op9_linededup,
+    "op10_ngramlm": ngramlm.op10_ngramlm,
 }
 
 ORACLE_SQL = {
