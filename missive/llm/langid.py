@@ -127,13 +127,15 @@ def fit(rows: DataFrame) -> Model:
 
 
 def identify(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
-    """lang_pred and score for each row of docs, with the columns in `keep` (or doc_id).
+    """lang_pred and score for each row of docs, with the columns in `keep` (or doc_id);
+    columns of docs with either name give way.
 
     A text that is null, empty or without a letter is UNDETERMINED with score 0,
     as is every text if no language was learned. Repeated rows are judged each.
     """
     common.prepare(docs.sparkSession)
     keep = keep or ["doc_id"]
+    other = [c for c in keep if c != "text"]
     names = np.array([*model.languages, UNDETERMINED], object)
     shipped = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -149,14 +151,19 @@ def identify(docs: DataFrame, model: Model, keep: list[str] | None = None) -> Da
                         best[rows], score[rows] = found.argmax(axis=1), found.max(axis=1)
                 letter = part.column("letter_").to_numpy(zero_copy_only=False).astype(bool)
                 best[~letter], score[~letter] = len(names) - 1, 0.0
-                columns = [part.column(f"keep{i}_") for i in range(len(keep))]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(names[best], pa.string()), pa.array(score)], names=[*(f"keep{i}_" for i in range(len(keep))), "lang_pred", "score"])
+                out = {f"keep{i}_": part.column(f"keep{i}_") for i in range(len(other))}
+                if "text" in keep:
+                    out["text_"] = part.column("text_")
+                yield pa.RecordBatch.from_pydict(out | {"lang_pred": pa.array(names[best], pa.string()), "score": pa.array(score)})
 
     letter = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letter_")
-    rows = docs.select(*[F.col(c).alias(f"keep{i}_") for i, c in enumerate(keep)], F.col("text").alias("text_"), letter)
-    ddl = ", ".join([f"keep{i}_ {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep)] + ["lang_pred string", "score double"])
+    inner = {c: f"keep{i}_" for i, c in enumerate(other)}
+    rows = docs.select(*[F.col(c).alias(k) for c, k in inner.items()], F.col("text").alias("text_"), letter)
+    if "text" in keep:
+        inner["text"] = "text_"
+    ddl = ", ".join([f"{k} {docs.schema[c].dataType.simpleString()}" for c, k in inner.items()] + ["lang_pred string", "score double"])
     found = rows.mapInArrow(apply, ddl)
-    return found.select(*[F.col(f"keep{i}_").alias(c) for i, c in enumerate(keep)], "lang_pred", "score")
+    return found.select(*[F.col(inner[c]).alias(c) for c in keep if c not in ("lang_pred", "score")], "lang_pred", "score")
 
 
 def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
