@@ -48,34 +48,40 @@ def _mark(edges: DataFrame) -> tuple:
 
 def _tested(pairs: DataFrame, records: DataFrame, near: Callable[[str, str], Column]) -> DataFrame:
     """Pairs whose records' own columns leave them near."""
-    names = [c for c in records.columns if c != "id"]
+    names = [c for c, kind in records.dtypes if c != "id" and not kind.startswith("array")]
     left = records.select(F.col("id").alias("a"), *[F.col(c).alias(f"{c}_a") for c in names])
     right = records.select(F.col("id").alias("b"), *[F.col(c).alias(f"{c}_b") for c in names])
     return pairs.join(left, "a").join(right, "b").filter(near("_a", "_b")).select("a", "b")
 
 
-def grouped(buckets: DataFrame, records: DataFrame, near: Callable[[str, str], Column], verified: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def grouped(records: DataFrame, keys: Column, near: Callable[[str, str], Column], verified: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
     """(id, component) of all records that are linked to another.
 
-    buckets(key, id) and records(id, ...) are stored tables. near takes the
-    suffixes of two records' columns and tests what they show; verified takes
-    pairs(a, b), a < b, and returns those that are links.
+    records(id, ...) is a stored table, and keys its column of bucket keys, as many
+    for each. near takes the suffixes of two records' columns and tests what they
+    show; verified takes pairs(a, b), a < b, and ids(id) of all that share a bucket,
+    and returns the pairs that are links.
     """
+    columns = [c for c, kind in records.dtypes if c != "id" and not kind.startswith("array")]
+    buckets = records.select(F.posexplode(keys).alias("at", "key"), "id")
     least = buckets.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("z"), F.count("*").alias("n")).filter("a < z").select("key", "a", "n")
-    members = common.stored(buckets.join(common.stored(least), "key").select("key", "a", F.col("id").alias("b"), "n"))
+    members = common.stored(buckets.join(common.stored(least), "key").select("key", "at", "a", F.col("id").alias("b"), "n"))
+    ids = members.select(F.col("b").alias("id")).distinct()
     star = members.filter("a != b").select("a", "b").distinct()
-    links = common.stored(verified(common.stored(_tested(star, records, near))))
+    links = common.stored(verified(common.stored(_tested(star, records, near)), ids))
     found = common.stored(components(links))
-    # members whose buckets still hold several components
-    placed = members.filter("n > 2").join(found.withColumnRenamed("id", "b"), "b", "left").select("key", "b", F.coalesce("component", "b").alias("component"))
+    # members whose buckets still hold several components; a bucket of two has been compared
+    placed = members.filter("n > 2").join(found.withColumnRenamed("id", "b"), "b", "left").select("key", "at", "b", F.coalesce("component", "b").alias("component"))
     placed = common.stored(placed)
     mixed = common.stored(placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key"))
-    rest = placed.join(mixed, "key").join(records.withColumnRenamed("id", "b"), "b")
-    names = [c for c in records.columns if c != "id"]
-    left = rest.select("key", F.col("b").alias("a"), F.col("component").alias("component_a"), *[F.col(c).alias(f"{c}_a") for c in names])
-    right = rest.select("key", "b", F.col("component").alias("component_b"), *[F.col(c).alias(f"{c}_b") for c in names])
-    across = left.join(right, "key").filter((F.col("a") < F.col("b")) & (F.col("component_a") != F.col("component_b")) & near("_a", "_b")).select("a", "b").distinct()
-    more = common.stored(verified(common.stored(across)))
-    if more.isEmpty():
+    rest = placed.join(mixed, "key").join(records.withColumn("keys", keys).withColumnRenamed("id", "b"), "b")
+    left = rest.select("key", "at", F.col("b").alias("a"), F.col("component").alias("component_a"), F.col("keys").alias("keys_a"), *[F.col(c).alias(f"{c}_a") for c in columns])
+    right = rest.select("key", "b", F.col("component").alias("component_b"), F.col("keys").alias("keys_b"), *[F.col(c).alias(f"{c}_b") for c in columns])
+    # a pair is taken up in the first of the buckets that it shares
+    again = F.exists(F.zip_with(F.slice("keys_a", F.lit(1), F.col("at")), F.slice("keys_b", F.lit(1), F.col("at")), lambda x, y: x == y), lambda same: same)
+    across = left.join(right, "key").filter((F.col("a") < F.col("b")) & (F.col("component_a") != F.col("component_b")) & near("_a", "_b") & ~again).select("a", "b")
+    across = common.stored(across)
+    if across.isEmpty():
         return found
+    more = common.stored(verified(across, ids))
     return common.stored(components(links.unionByName(more)))
