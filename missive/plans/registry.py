@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from missive.functions import labels, mime, phone, text, vcard
 from missive.operators import analytics, control, custody, export, normalize, reads, search, store
+from missive.sources import backup
 from missive.sources.events import DAYS_SQL, MESSAGES_SQL, messages
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -379,6 +380,38 @@ def imports_latest(spark, sf_dir):
     return custody.latest(messages(spark, sf_dir).groupBy(F.col("thread_id").alias("id")).agg(F.count("*").alias("record_count")))
 
 
+_SMS = """concat('<sms address="', address, '" date="', date * 1000 + 7, '" type="', type, '" thread_id="', thread_id, '" body="', replace(body, '"', '&quot;'), '" />')"""
+
+
+def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The messages of every thread as one backup file."""
+    body = F.replace("body", F.lit('"'), F.lit("&quot;"))
+    parts = [F.lit('<sms address="'), F.col("address"), F.lit('" date="'), F.col("date") * 1000 + 7, F.lit('" type="'), F.col("type"), F.lit('" thread_id="'), F.col("thread_id"), F.lit('" body="'), body, F.lit('" />')]
+    rows = messages(spark, sf_dir).filter("record_type <> 3").select("id", "thread_id", F.concat(*[p.cast("string") for p in parts]).alias("raw"))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("id", "raw"))), lambda x: x["raw"])
+    whole = F.concat(F.lit("<?xml version='1.0' encoding='UTF-8'?>\n<!-- <sms -->\n<smses>\n"), F.array_join(ordered, "\n"), F.lit("\n</smses>"))
+    return rows.groupBy("thread_id").agg(whole.alias("text")).select(F.concat(F.lit("thread-"), F.col("thread_id").cast("string"), F.lit(".xml")).alias("path"), F.encode("text", "UTF-8").alias("content"))
+
+
+@query(
+    f"""{WITH} SELECT concat('thread-', thread_id, '.xml') AS file, row_number() OVER (PARTITION BY thread_id ORDER BY id) - 1 AS ordinal, 1 AS record_type, address, date, type, thread_id, body, sha256({_SMS}) AS content_hash
+FROM messages WHERE record_type <> 3"""
+)
+def xml_import(spark, sf_dir):
+    """Backup files split into elements, hashed as they are and normalised."""
+    return normalize.messages(backup.split(_files(spark, sf_dir))).select("file", "ordinal", "record_type", "address", "date", "type", "thread_id", "body", "content_hash")
+
+
+@query(
+    f"""{WITH}, h AS (SELECT thread_id, list(sha256({_SMS}) ORDER BY id) AS l FROM messages WHERE record_type <> 3 GROUP BY thread_id)
+SELECT concat('thread-', thread_id, '.xml') AS file, CAST(len(l) AS BIGINT) AS record_count, list_reduce(list_prepend('', l), lambda acc, x: sha256(acc || chr(10) || x)) AS chain_hash FROM h"""
+)
+def import_rows(spark, sf_dir):
+    """The custody rows that an import of these files would write."""
+    found = _files(spark, sf_dir)
+    return custody.import_rows(normalize.messages(backup.split(found)), backup.file_hashes(found)).select("file", "record_count", "chain_hash")
+
+
 # ------------------------------------------------------------ search
 
 _WORDS = "WITH d AS (SELECT conv_id * 1000 + turn AS id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM conversations WHERE regexp_full_match(text, '[\\x00-\\x7F]*'))"
