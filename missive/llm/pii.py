@@ -2,11 +2,12 @@
 
 The plain detectors run on the text as it is. Where a text shows signs of
 disguise, transducers rewrite it piece by piece and note for each piece where it
-stood: homoglyphs become the ASCII characters that they imitate, runs of spelled
-digits become digits, and "[at]" or "name at host dot net" becomes "@" and ".".
-The same detectors run on the rewritten text; a span found there is mapped back
-to the source characters of its pieces and added unless a plain span of any kind
-overlaps it. Plain spans always stay.
+stood: homoglyphs become the ASCII characters that they imitate, characters without
+width go, letters that stand for digits and runs of spelled digits become digits,
+and "[at]" or "name at host dot net" becomes "@" and ".". The same detectors run on
+the rewritten text; a span found there is mapped back to the source characters of
+its pieces and added if it is clear of the plain spans or holds more than those that
+it overlaps. Plain spans always stay.
 
 Spans count code points, ends exclusive. Null text is empty and has none.
 """
@@ -87,7 +88,7 @@ _LOOKALIKES = {
     "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "і": "i", "ј": "j", "ѕ": "s", "һ": "h", "ԁ": "d", "ԛ": "q", "ԝ": "w",
     "А": "A", "В": "B", "Е": "E", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C", "Т": "T", "У": "Y", "Х": "X", "І": "I", "Ѕ": "S", "Ј": "J",
     "α": "a", "ο": "o", "ν": "v", "ι": "i", "ρ": "p", "υ": "u", "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X",
-    "ı": "i", "ⅼ": "l", "․": ".", "。": ".", "‐": "-", "‑": "-", "‒": "-", "–": "-", "−": "-",
+    "ı": "i", "ⅼ": "l", "․": ".", "。": ".", "‐": "-", "‑": "-", "‒": "-", "−": "-",
 }
 
 
@@ -109,20 +110,27 @@ def _homoglyphs() -> dict[int, str]:
     return out
 
 
+#: Characters that take no room: soft hyphen, joiners, direction marks, byte order mark.
+_WIDTHLESS = re.compile("[\u00ad\u200b-\u200f\u2060-\u2064\ufeff]+")
+
+
 @cache
 def _imitators() -> np.ndarray:
-    out = np.zeros(max(_homoglyphs()) + 2, bool)
-    out[list(_homoglyphs())] = True
+    """1 for homoglyphs, 2 for characters without width, by code point."""
+    out = np.zeros(max(0xFEFF, *_homoglyphs()) + 2, np.uint8)
+    out[list(_homoglyphs())] = 1
+    out[[p for p in range(0xAD, 0xFF00) if _WIDTHLESS.match(chr(p))]] = 2
     return out
 
 
-def _imitates(text: str) -> bool:
-    """Whether any character of the text is a homoglyph."""
+def _imitates(text: str) -> tuple[bool, bool]:
+    """Whether a text has homoglyphs, and characters without width."""
     if text.isascii():
-        return False
+        return False, False
     table = _imitators()
-    points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
-    return bool(table[np.minimum(points, len(table) - 1)].any())
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    found = table[np.minimum(points, len(table) - 1)]
+    return bool((found == 1).any()), bool((found == 2).any())
 
 
 #: Spelled digits in the languages of the corpus: fixed values.
@@ -139,8 +147,15 @@ _PART = re.compile(rf"(?P<word>{_WORD})(?!\w)|(?P<figure>[0-9]+)|(?P<plus>plus)|
 #: A bracketed "at" or "dot" is a disguise wherever it stands between names.
 _BRACKETED = re.compile(r"\s*[\[({<]\s*(at|@|dot|\.|point|punkt|punto|arobase)\s*[\])}>]\s*", re.I)
 #: A bare "at" is one only as in: name at host dot net.
-_BARE = re.compile(r"(?<![\w.%+-])([A-Za-z0-9._%+-]+)(\s+at\s+|\s*@\s*)([A-Za-z0-9-]+)((?:\s+dot\s+[A-Za-z0-9-]+)+)(?![\w-])", re.I)
+_BARE = re.compile(r"(?<![\w.%+-])([A-Za-z0-9._%+-]+(?:\s+dot\s+[A-Za-z0-9_%+-]+)*)(\s+at\s+|\s*@\s*)([A-Za-z0-9-]+)((?:\s+dot\s+[A-Za-z0-9-]+)+)(?![\w-])", re.I)
 _BARE_DOT = re.compile(r"\s+dot\s+", re.I)
+#: With real dots in the host, the name must look like one: a digit or a mark in it.
+_SPACED = re.compile(r"(?<![\w.%+-])(?=[A-Za-z_%+-]*[0-9._%+])[A-Za-z0-9._%+-]*[A-Za-z0-9](\s+at\s+)(?=[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}(?![\w@]))", re.I)
+_PARTED = re.compile(r"(?<=[A-Za-z0-9])(\s+@\s*|@\s+)(?=[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}(?![\w@]))")
+#: Letters among digits that stand for 0 and 1; most of the run must be figures.
+_LETTERED = re.compile(r"(?<![A-Za-z0-9])\+?[0-9OoIl](?:[\x20.()-]{0,2}[0-9OoIl]){7,}(?![A-Za-z0-9])")
+_STANDS_FOR = {"O": "0", "o": "0", "I": "1", "l": "1"}
+_LETTERED_HINT = re.compile(r"[0-9][\x20.()-]{0,2}[OoIl]|[OoIl][\x20.()-]{0,2}[0-9]")
 #: "@" with dots spaced or bracketed after it.
 _SIGNS = re.compile(r"[\[({<]\s*(?:at|@|dot|\.|point|punkt|punto|arobase)\s*[\])}>]|\sdot\s", re.I)
 _DIGIT_SET = frozenset(_DIGIT_WORDS)
@@ -199,34 +214,51 @@ def _signs(text: str) -> list[tuple[int, int, str]]:
         edits.append((m.start(), m.end(), "@" if m[1].lower() in ("at", "@", "arobase") else "."))
     for m in _BARE.finditer(text):
         edits.append((m.start(2), m.end(2), "@"))
-        edits += [(d.start(), d.end(), ".") for d in _BARE_DOT.finditer(text, m.start(4), m.end(4))]
+        edits += [(d.start(), d.end(), ".") for k in (1, 4) for d in _BARE_DOT.finditer(text, m.start(k), m.end(k))]
+    edits += [(m.start(1), m.end(1), "@") for r in (_SPACED, _PARTED) for m in r.finditer(text)]
+    return edits
+
+
+def _lettered(text: str) -> list[tuple[int, int, str]]:
+    edits = []
+    for run in _LETTERED.finditer(text):
+        if 3 * len(_DIGIT.findall(run[0])) >= 2 * len(re.findall(r"[0-9OoIl]", run[0])):
+            edits += [(run.start() + i, run.start() + i + 1, _STANDS_FOR[c]) for i, c in enumerate(run[0]) if c in _STANDS_FOR]
     return edits
 
 
-def _hints(text: str) -> tuple[bool, bool]:
-    """Whether a text may hold spelled digits, and disguised signs; most texts hold neither."""
+def _widthless(text: str) -> list[tuple[int, int, str]]:
+    return [(m.start(), m.end(), "") for m in _WIDTHLESS.finditer(text)]
+
+
+def _hints(text: str) -> tuple[bool, bool, bool]:
+    """Whether a text may hold lettered digits, spelled digits, and disguised signs;
+    most texts hold none."""
     low = text.lower()
     loose = low
     for c in "-,.":
         loose = loose.replace(c, " ")
     spelled = not _DIGIT_SET.isdisjoint(loose.split())
+    lettered = bool(_DIGIT.search(text) and _LETTERED_HINT.search(text))
     signs = ("dot" in low or any(c in low for c in "[({<") or " @" in low or "@ " in low) and bool(_SIGNS.search(text))
-    return spelled, signs
+    return lettered, spelled, signs or " at " in low and "." in low and bool(_SPACED.search(text)) or " @" in low or "@ " in low
 
 
 def disguised(text: str) -> list[tuple[int, int, int]]:
-    """Spans that appear only after the transducers have run; they may overlap plain ones."""
-    changed = False
-    if _imitates(text):
-        text = text.translate(_homoglyphs())  # one for one: offsets stay
-        changed = True
+    """Spans of the rewritten text, by their source characters; plain ones among them."""
+    imitated, widthless = _imitates(text)
     maps: list[Rewritten] = []
-    for hinted, transducer in zip(_hints(text), (_spelled, _signs), strict=True):
+    changed = imitated
+    if imitated:
+        text = text.translate(_homoglyphs())  # one for one: offsets stay
+    if widthless:
+        maps.append(_replaced(text, _widthless(text)))
+        text = maps[-1].text
+    for hinted, transducer in zip(_hints(text), (_lettered, _spelled, _signs), strict=True):
         if hinted and (edits := transducer(text)):
             maps.append(_replaced(text, edits))
             text = maps[-1].text
-            changed = True
-    if not changed:
+    if not changed and not maps:
         return []
     out = []
     for start, kind, end in plain(text):
@@ -242,7 +274,8 @@ def spans(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[int,
     base = plain(text)
     added: list[tuple[int, int, int]] = []
     for start, kind, end in sorted(disguised(text), key=lambda s: (s[0] - s[2], s)):
-        if not any(start < e and s < end for s, _, e in (*base, *added)):
+        over = [(s, k, e) for s, k, e in base if start < e and s < end]
+        if all(start <= s and e <= end and (start, end) != (s, e) for s, _, e in over) and not any(start < e and s < end for s, _, e in added):
             added.append((start, kind, end))
     return base, sorted(base + added) if added else base
 
