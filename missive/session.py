@@ -1,11 +1,24 @@
 """Session defaults. UTC is required by the date semantics; the rest is left to
 the cluster's own configuration where it has one."""
 
+import os
+
 from pyspark.sql import SparkSession
 
+_ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+
 
 def session(name: str = "missive", **conf: str) -> SparkSession:
     builder = SparkSession.builder.appName(name).config("spark.sql.session.timeZone", "UTC").config("spark.sql.adaptive.enabled", "true")
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
     return builder.getOrCreate()
+
+
+def share_code(spark: SparkSession) -> None:
+    """Let Python workers on the same file system import this package, wherever the
+    driver was started; a cluster gets it with --py-files as usual."""
+    env = spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if _ROOT not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([*paths, _ROOT])
