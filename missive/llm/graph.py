@@ -59,16 +59,17 @@ def grouped(records: DataFrame, keys: Column, near: Callable[[str, str], Column]
 
     records(id, ...) is a stored table, and keys its column of bucket keys, as many
     for each. near takes the suffixes of two records' columns and tests what they
-    show; verified takes pairs(a, b), a < b, and ids(id) of all that share a bucket,
-    and returns the pairs that are links.
+    show; verified takes pairs(a, b), a < b, and ids(id) of all that it may be asked
+    for, now or later, and returns the pairs that are links.
     """
     columns = [c for c, kind in records.dtypes if c != "id" and not kind.startswith("array")]
     buckets = records.select(F.posexplode(keys).alias("at", "key"), "id")
     least = buckets.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("z"), F.count("*").alias("n")).filter("a < z").select("key", "a", "n")
     members = common.stored(buckets.join(common.stored(least), "key").select("key", "at", "a", F.col("id").alias("b"), "n"))
-    ids = members.select(F.col("b").alias("id")).distinct()
-    star = members.filter("a != b").select("a", "b").distinct()
-    links = common.stored(verified(common.stored(_tested(star, records, near)), ids))
+    star = common.stored(_tested(members.filter("a != b").select("a", "b").distinct(), records, near))
+    # what either comparison may ask for, so that texts are read once
+    ids = star.select(F.explode(F.array("a", "b")).alias("id")).unionByName(members.filter("n > 2").select(F.col("b").alias("id"))).distinct()
+    links = common.stored(verified(star, ids))
     found = common.stored(components(links))
     # members whose buckets still hold several components; a bucket of two has been compared
     placed = members.filter("n > 2").join(found.withColumnRenamed("id", "b"), "b", "left").select("key", "at", "b", F.coalesce("component", "b").alias("component"))
