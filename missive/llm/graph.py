@@ -64,8 +64,9 @@ def grouped(records: DataFrame, keys: Column, near: Callable[[str, str], Column]
     """
     columns = [c for c, kind in records.dtypes if c != "id" and not kind.startswith("array")]
     buckets = records.select(F.posexplode(keys).alias("at", "key"), "id")
-    least = buckets.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("z"), F.count("*").alias("n")).filter("a < z").select("key", "a", "n")
-    members = common.stored(buckets.join(common.stored(least), "key").select("key", "at", "a", F.col("id").alias("b"), "n"))
+    least = buckets.groupBy("key").agg(F.min("id").alias("a"), F.count("*").alias("n")).filter("n > 1")
+    # shared keys are the smaller side by far, and unique: hashed, so that the buckets need no sort
+    members = common.stored(buckets.join(common.stored(least).hint("shuffle_hash"), "key").select("key", "at", "a", F.col("id").alias("b"), "n"))
     star = common.stored(_tested(members.filter("a != b").select("a", "b").distinct(), records, near))
     # what either comparison may ask for, so that texts are read once
     ids = star.select(F.explode(F.array("a", "b")).alias("id")).unionByName(members.filter("n > 2").select(F.col("b").alias("id"))).distinct()
