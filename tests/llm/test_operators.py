@@ -384,6 +384,33 @@ def test_fuzzy_lines(spark):
     assert [r.n_dropped for r in out] == [0, 1, 0, 0] and out[1].text == "" and out[3].text == "blank\n\nshort one"
 
 
+def test_recall_of_edited_lines(spark):
+    """Pairs of the edit similarity asked for, by their words and edits, whatever their SimHashes."""
+    rng = np.random.default_rng(9)
+    vocabulary = ["of", "the", "and", "in", *[f"{'abcdefgh'[i % 8] * (i % 7 + 1)}{i}" for i in range(20_000)]]
+    word = lambda: vocabulary[int(min(rng.zipf(1.2), len(vocabulary)) - 1)] if rng.random() < 0.4 else vocabulary[rng.integers(len(vocabulary))]
+    texts, kinds = [], []
+    for size in (linededup.LEAST_WORDS, 8, 14, 24, 60, 150):
+        most = size * 20 // 100
+        for n in range(300):
+            line, edits = [word() for _ in range(size)], 1 + n % most
+            copy = list(line)
+            for at in rng.choice(size, edits, replace=False):
+                copy[at] = word()
+            if n % 3 == 0 and size > linededup.LEAST_WORDS:  # one of the edits takes a word out
+                del copy[at]
+            texts += [" ".join(line), " ".join(copy)]
+            kinds.append((size, edits, most))
+    got = {r.doc_id: r.n_dropped for r in linededup.deduplicate(frame(spark, *texts), whole=True).collect()}
+    found = collections.defaultdict(list)
+    for n, (size, edits, most) in enumerate(kinds):
+        found[size, 5 * -(-edits * 20 // size) if edits < most else 20].append(got[2 * n + 1])
+    recall = {kind: (round(float(np.mean(x)), 3), len(x)) for kind, x in found.items()}
+    print("recall by words and per cent of edits at most:", recall)
+    assert min(x for x, _ in recall.values()) >= 0.9, recall
+    assert sum(got[2 * n] for n in range(len(kinds))) <= 2  # pairs have nothing to do with each other
+
+
 # ------------------------------------------------------------ 10
 
 
