@@ -411,6 +411,15 @@ def test_recall_of_edited_lines(spark):
     assert sum(got[2 * n] for n in range(len(kinds))) <= 2  # pairs have nothing to do with each other
 
 
+def test_short_and_unspaced_lines(spark):
+    """Equal lines of any length go, near ones from the least length on, characters counting where no spaces stand."""
+    han, thai, kana = "天地玄黄宇宙洪荒日月盈昃辰宿列张", "สวัสดีครับยินดีต้อนรับ", "いろはにほへとちりぬるを"
+    texts = [f"Home\n{han}\n{thai}\n\n目录\nred apple", f"HOME!\n{han[:-1]}章\n\n{thai}\n目录", f"{kana}\n目次\nhome\n \nred apples", f"{kana[:-1]}\nmenu\n{kana}\n---\n***\n\u00a0\n --- \n\u00a0"]
+    out = linededup.deduplicate(frame(spark, *texts), whole=True).orderBy("doc_id").collect()
+    assert [r.text for r in out] == [texts[0], "", f"{kana}\n目次\n \nred apples", "menu\n---\n***\n\u00a0\n\u00a0"]
+    assert [(r.n_lines, r.n_dropped) for r in out] == [(6, 0), (5, 4), (5, 1), (8, 3)]
+
+
 # ------------------------------------------------------------ 10
 
 
