@@ -18,8 +18,6 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Words on either side of a keyword that a rule may reach.
-REACH = 16
 MARK = "\u0001"
 
 #: Phrases that are always reported, and their labels: fixed values.
@@ -126,7 +124,7 @@ FRAMES = [
 #: Wording that stands for itself: label, keyword, priority, expression.
 WORDING = [
     ("mit", "granted", 95, r"permission is hereby granted free of charge to any person obtaining a copy"),
-    ("mit", "notice", 85, r"the above copyright notice and this permission notice shall be included"),
+    ("mit", "included", 85, r"the above copyright notice and this permission notice shall be included"),
     ("isc", "granted", 95, r"permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
     ("bsd", "redistribution", 95, r"redistribution and use in source and binary forms with or without modification are permitted"),
     ("bsd-3-clause", "endorse", 92, r"endorse or promote products derived from this software"),
@@ -164,6 +162,15 @@ def rules() -> list[tuple[int, str, str, int, str]]:
     return [(i, label, keyword, priority, rf"(?<![^ ])(?:{re.sub(rf'(?<![a-z0-9]){keyword}(?![a-z0-9])', MARK + keyword, expression)})(?![^ ])") for i, (label, keyword, priority, expression) in enumerate(found)]
 
 
+def _reach() -> int:
+    """Words on either side of a keyword that a rule may reach: no more than it has spaces there."""
+    sides = [part for *_, e in rules() for part in (e.rpartition(MARK)[0], e.partition(MARK)[2])]
+    return max(side.replace("[^ ]", "").count(" ") for side in sides)
+
+
+REACH = _reach()
+
+
 def _places(words: str, phrase: str) -> Column:
     """Where the words of a phrase stand one after another."""
     parts = phrase.split()

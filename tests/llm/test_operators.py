@@ -266,6 +266,20 @@ def test_every_rule_is_gated():
     assert len(licenses.rules()) > 200
 
 
+def test_wording_rules_detect_their_text(spark):
+    """Each wording alone, and between other words; none reaches beyond the window, and its keyword stands once."""
+    said = [re.sub(r"\(\?:([^|)]*)(?:\|[^)]*)?\)(\??)", r"\1", e).replace("[0-9]{2}", "24") for _, _, _, e in licenses.WORDING]
+    assert all(re.fullmatch(e, x) for x, (_, _, _, e) in zip(said, licenses.WORDING, strict=True))
+    texts = said + [f"{'before ' * 40}{x}{' after' * 40}" for x in said]
+    out = {r.doc_id: r for r in licenses.scan(frame(spark, *texts)).collect()}
+    for n in range(len(texts)):
+        label, keyword, priority, _ = licenses.WORDING[n % len(said)]
+        assert label in out[n].labels.split(",") and out[n].score >= priority / 100, (texts[n], out[n])
+    for x, (_, keyword, _, _) in zip(said, licenses.WORDING, strict=True):
+        words = x.split()
+        assert words.count(keyword) == 1 and max(words.index(keyword), len(words) - 1 - words.index(keyword)) <= licenses.REACH
+
+
 # ------------------------------------------------------------ 8
 
 
