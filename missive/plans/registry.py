@@ -342,6 +342,18 @@ def group_address(spark, sf_dir):
     return rows.select("thread_id", address.alias("address"), F.size(distinct).alias("participants"))
 
 
+@query(
+    f"""{WITH}, g AS (SELECT thread_id, list(DISTINCT address ORDER BY address) AS a FROM messages GROUP BY thread_id)
+SELECT thread_id, CASE WHEN len(a) >= 3 THEN array_to_string(a, ',') ELSE '+15550001234' END AS address, CAST(len(a) AS INTEGER) AS participants FROM g"""
+)
+def group_address_all(spark, sf_dir):
+    """The same over all messages; addresses are made distinct before they are gathered."""
+    distinct = messages(spark, sf_dir).select("thread_id", "address").distinct()
+    rows = distinct.groupBy("thread_id").agg(F.collect_list(F.struct("address", F.lit("151").alias("type"))).alias("addrs"))
+    address, found = normalize.group_address(normalize.participants(F.col("addrs")), F.lit("(555) 000-1234"))
+    return rows.select("thread_id", address.alias("address"), F.size(found).alias("participants"))
+
+
 # ------------------------------------------------------------ custody
 
 _ELEMENT = "concat('<sms address=\"', address, '\" date=\"', date, '\" type=\"', type, '\" />')"

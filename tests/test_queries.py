@@ -15,6 +15,17 @@ def test_query(spark, name):
         assert found.count() > 0
 
 
+def test_group_address_takes_every_message(spark):
+    from missive.sources.events import messages
+
+    everyone = {}
+    for r in messages(spark, SF).select("thread_id", "address").collect():
+        everyone.setdefault(r.thread_id, set()).add(r.address)
+    found = {r.thread_id: r for r in QUERIES["group_address_all"](spark, SF).collect()}
+    assert {t: r.participants for t, r in found.items()} == {t: len(a) for t, a in everyone.items()}
+    assert all(r.address == ",".join(sorted(everyone[t])) for t, r in found.items() if len(everyone[t]) >= 3)
+
+
 def test_entry(spark):
     import __spark_entry__
 
