@@ -16,7 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from missive.functions.text import fold, folded
+from missive.functions.text import fold, fold_each, folded
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 NEAR_DEFAULT = 10
@@ -244,13 +244,13 @@ def snippet(body: Column, tree, size: int = 50, mark: tuple[str, str] = ("<mark>
     words = sorted({(w, p.prefix and i == len(p.words) - 1) for p in _phrases(tree) for i, w in enumerate(p.words)})
     pieces = F.regexp_extract_all(body, F.lit(rf"{_TERM}|[^\p{{L}}\p{{N}}\p{{Co}}]+"), F.lit(0))
 
-    def hit(x: Column) -> Column:
-        low = F.lower(x)
+    def hit(low: Column) -> Column:
         return reduce(lambda a, b: a | b, [low.startswith(w) if prefix else low == w for w, prefix in words], F.lit(False))
 
-    first = F.greatest(F.array_position(F.transform(pieces, hit), True).cast("int") - 1, F.lit(0))
+    hits = F.transform(fold_each(pieces), hit)
+    first = F.greatest(F.array_position(hits, True).cast("int") - 1, F.lit(0))
     start = F.greatest(first - 8, F.lit(0))
-    window = F.transform(F.slice(pieces, start + 1, F.lit(2 * size)), lambda x: F.when(hit(x), F.concat(F.lit(mark[0]), x, F.lit(mark[1]))).otherwise(x))
+    window = F.zip_with(F.slice(pieces, start + 1, F.lit(2 * size)), F.slice(hits, start + 1, F.lit(2 * size)), lambda x, own: F.when(own, F.concat(F.lit(mark[0]), x, F.lit(mark[1]))).otherwise(x))
     return F.concat(F.when(start > 0, dots).otherwise(""), F.array_join(window, ""), F.when(F.size(pieces) > start + 2 * size, dots).otherwise(""))
 
 

@@ -431,8 +431,11 @@ _WORDS = "WITH d AS (SELECT conv_id * 1000 + turn AS id, regexp_extract_all(lowe
 
 def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversation turns in ASCII, where folding and tokenising are plain in SQL."""
-    rows = _table(spark, sf_dir, "conversations").filter(F.col("text").rlike(r"^[\x00-\x7F]*$"))
-    return rows.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("role").alias("address"), F.lit("").alias("contact_name"), F.col("text").alias("body"), F.col("turn").alias("date"))
+    return _every_turn(spark, sf_dir).filter(F.col("body").rlike(r"^[\x00-\x7F]*$"))
+
+
+def _every_turn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("role").alias("address"), F.lit("").alias("contact_name"), F.col("text").alias("body"), F.col("turn").alias("date"))
 
 
 def _found(spark: SparkSession, sf_dir: str, expression: str) -> DataFrame:
@@ -499,6 +502,43 @@ def search_results(spark, sf_dir):
     return search.search(_turns(spark, sf_dir), 'with OR "of the"', limit=100)
 
 
+#: The same searches over every turn, in any script; no SQL, a test holds them against brute force.
+EVERY_TURN = {
+    "search_term_all": "The",
+    "search_and_all": "the AND with",
+    "search_or_all": "from OR with",
+    "search_not_all": "the NOT with",
+    "search_phrase_all": '"of the"',
+    "search_prefix_all": "whi*",
+    "search_first_all": "^the",
+    "search_near_all": "NEAR(with from, 5)",
+}
+
+
+def _search_all(name: str, expression: str) -> None:
+    def found(spark, sf_dir):
+        return search.matches(search.postings(_every_turn(spark, sf_dir)), search.parse(expression)).distinct()
+
+    found.__name__ = name
+    query()(found)
+
+
+for _name, _expression in EVERY_TURN.items():
+    _search_all(_name, _expression)
+
+
+@query()
+def search_bm25_all(spark, sf_dir):
+    rows = _every_turn(spark, sf_dir)
+    index, tree = search.postings(rows), search.parse("with")
+    return search.scores(index, search.lengths(rows), search.matches(index, tree), tree).select("id", F.round("score", 6).alias("score"))
+
+
+@query()
+def search_results_all(spark, sf_dir):
+    return search.search(_every_turn(spark, sf_dir), 'with OR "of the"', limit=100)
+
+
 # ------------------------------------------------------------ export, control, cards
 
 
