@@ -2,10 +2,13 @@
 functions only; both near-duplicate operators use it.
 
 Records that share a bucket key are candidates. A bucket's members are first
-compared with its least member only; components of the links found so far come
-next, and then only members of one bucket that are still in different components
-are compared with each other. Links lost to the first comparison are so found by
-the second, while a large group of copies costs a comparison for each member.
+compared with its least member only, and the components of the links found are
+joined. Where a bucket is then still in several components, the members outside its
+largest one are compared with all others: for up to APART of them in a bucket the
+work grows with its size and not with the square. A bucket with more has a key that
+many unrelated records share, such as the words of a phrase; its members are dealt
+anew by finer keys, which two near records share just as surely. A large group of
+copies so costs a comparison for each member, and no link is lost to the order.
 """
 
 from __future__ import annotations
@@ -17,6 +20,10 @@ from pyspark.sql import functions as F
 
 from . import common
 
+#: Members outside a bucket's largest component that are compared with all of it;
+#: more of them take finer keys.
+APART = 32
+
 
 def components(links: DataFrame) -> DataFrame:
     """(id, component) for every id of links(a, b): the least id that it reaches.
@@ -54,36 +61,74 @@ def _tested(pairs: DataFrame, records: DataFrame, near: Callable[[str, str], Col
     return pairs.join(left, "a").join(right, "b").filter(near("_a", "_b")).select("a", "b")
 
 
-def grouped(records: DataFrame, keys: Column, near: Callable[[str, str], Column], verified: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
+class _Search:
+    """What a search for links has found so far."""
+
+    def __init__(self, records: DataFrame, near: Callable[[str, str], Column], verified: Callable[[DataFrame, DataFrame], DataFrame]):
+        self.records, self.near, self.verified = records, near, verified
+        self.links: DataFrame | None = None
+        self.found: DataFrame | None = None
+        self.ids: DataFrame | None = None
+        self.crowd: DataFrame | None = None
+        self.compared_across = False
+
+    def compare(self, pairs: DataFrame) -> None:
+        pairs = common.stored(_tested(pairs, self.records, self.near))
+        if self.ids is None:
+            # all that any comparison may ask for, so that texts are read once
+            self.ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).unionByName(self.crowd.select("id")).distinct()
+        more = common.stored(self.verified(pairs, self.ids))
+        self.links = more if self.links is None else self.links.unionByName(more)
+
+    def join_components(self) -> None:
+        self.found = common.stored(components(self.links))
+
+    def placed(self, members: DataFrame) -> DataFrame:
+        return members.join(self.found, "id", "left").withColumn("component", F.coalesce("component", "id"))
+
+    def sweep(self, buckets: DataFrame, last: bool) -> DataFrame | None:
+        """Compare the members of buckets(key, id); returns ids that need finer keys."""
+        shared = common.stored(buckets.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.count("*").alias("n")).filter("a < b"))
+        # shared keys are the smaller side by far, and unique: hashed, so that the buckets need no sort
+        crowd = common.stored(buckets.join(shared.filter("n > 2").select("key", "a").hint("shuffle_hash"), "key"))
+        star = shared.filter("n = 2").select("a", "b").unionByName(crowd.filter("id != a").select("a", F.col("id").alias("b"))).distinct()
+        if self.ids is None:
+            self.crowd = crowd
+        else:
+            ends = [self.found.withColumnsRenamed({"id": c, "component": f"component_{c}"}) for c in "ab"]
+            star = star.join(ends[0], "a", "left").join(ends[1], "b", "left").filter("NOT coalesce(component_a, a) <=> coalesce(component_b, b)").select("a", "b")
+        self.compare(star)
+        self.join_components()
+        members = common.stored(self.placed(crowd.select("key", "id").distinct()))
+        sizes = members.groupBy("key", "component").count().groupBy("key")
+        sizes = sizes.agg(F.max(F.struct("count", "component")).alias("largest"), F.sum("count").alias("n"))
+        mixed = sizes.select("key", F.col("largest.component").alias("main"), (F.col("n") - F.col("largest.count")).alias("apart")).filter("apart > 0")
+        mixed = common.stored(mixed)
+        here = members.join(mixed if last else mixed.filter(F.col("apart") <= APART), "key")
+        one, other = (here.select("key", "main", F.col("id").alias(c), F.col("component").alias(f"component_{c}")) for c in "ab")
+        across = one.filter("component_a != main").join(other.drop("main"), "key").filter("component_a != component_b")
+        across = common.stored(across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        self.compared_across = not across.isEmpty()
+        if self.compared_across:
+            self.compare(across)
+        if last:
+            return None
+        return common.stored(members.join(mixed.filter(F.col("apart") > APART), "key").select("id").distinct())
+
+
+def grouped(records: DataFrame, keys: Column, near: Callable[[str, str], Column], verified: Callable[[DataFrame, DataFrame], DataFrame], finer: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """(id, component) of all records that are linked to another.
 
-    records(id, ...) is a stored table, and keys its column of bucket keys, as many
-    for each. near takes the suffixes of two records' columns and tests what they
-    show; verified takes pairs(a, b), a < b, and ids(id) of all that it may be asked
-    for, now or later, and returns the pairs that are links.
+    records(id, ...) is a stored table, and keys its column of bucket keys. near
+    takes the suffixes of two records' columns and tests what they show; verified
+    takes pairs(a, b), a < b, and ids(id) of all that it may be asked for, now or
+    later, and returns the pairs that are links; finer takes ids(id) and returns
+    their more selective bucket keys (key, id).
     """
-    columns = [c for c, kind in records.dtypes if c != "id" and not kind.startswith("array")]
-    buckets = records.select(F.posexplode(keys).alias("at", "key"), "id")
-    least = buckets.groupBy("key").agg(F.min("id").alias("a"), F.count("*").alias("n")).filter("n > 1")
-    # shared keys are the smaller side by far, and unique: hashed, so that the buckets need no sort
-    members = common.stored(buckets.join(common.stored(least).hint("shuffle_hash"), "key").select("key", "at", "a", F.col("id").alias("b"), "n"))
-    star = common.stored(_tested(members.filter("a != b").select("a", "b").distinct(), records, near))
-    # what either comparison may ask for, so that texts are read once
-    ids = star.select(F.explode(F.array("a", "b")).alias("id")).unionByName(members.filter("n > 2").select(F.col("b").alias("id"))).distinct()
-    links = common.stored(verified(star, ids))
-    found = common.stored(components(links))
-    # members whose buckets still hold several components; a bucket of two has been compared
-    placed = members.filter("n > 2").join(found.withColumnRenamed("id", "b"), "b", "left").select("key", "at", "b", F.coalesce("component", "b").alias("component"))
-    placed = common.stored(placed)
-    mixed = common.stored(placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key"))
-    rest = placed.join(mixed, "key").join(records.withColumn("keys", keys).withColumnRenamed("id", "b"), "b")
-    left = rest.select("key", "at", F.col("b").alias("a"), F.col("component").alias("component_a"), F.col("keys").alias("keys_a"), *[F.col(c).alias(f"{c}_a") for c in columns])
-    right = rest.select("key", "b", F.col("component").alias("component_b"), F.col("keys").alias("keys_b"), *[F.col(c).alias(f"{c}_b") for c in columns])
-    # a pair is taken up in the first of the buckets that it shares
-    again = F.exists(F.zip_with(F.slice("keys_a", F.lit(1), F.col("at")), F.slice("keys_b", F.lit(1), F.col("at")), lambda x, y: x == y), lambda same: same)
-    across = left.join(right, "key").filter((F.col("a") < F.col("b")) & (F.col("component_a") != F.col("component_b")) & near("_a", "_b") & ~again).select("a", "b")
-    across = common.stored(across)
-    if across.isEmpty():
-        return found
-    more = common.stored(verified(across, ids))
-    return common.stored(components(links.unionByName(more)))
+    search = _Search(records, near, verified)
+    crowded = search.sweep(records.select(F.explode(keys).alias("key"), "id"), last=False)
+    if not crowded.isEmpty():
+        search.sweep(common.stored(finer(crowded)), last=True)
+    if search.compared_across:
+        search.join_components()
+    return search.found
