@@ -407,7 +407,7 @@ def test_unlinked_lines_with_a_phrase_in_common(spark, monkeypatch):
 def test_words_that_share_a_character(spark):
     """Two lines that a hash of their words makes alike, and the words do not."""
     size = len(linededup._ALPHABET)
-    words = spark.range(400_000).select(F.concat(F.lit("w"), "id").alias("w")).select("w", F.pmod(F.hash("w"), F.lit(size)).alias("h"))
+    words = spark.range(400_000).select(F.concat(F.lit("w"), "id").alias("w")).select("w", F.pmod(F.hash("w", F.lit(0)), F.lit(size)).alias("h"))
     same = [r.all for r in words.groupBy("h").agg(F.sort_array(F.collect_list("w")).alias("all")).orderBy("h").limit(6).collect()]
     shared = [f"common{i}" for i in range(20)]
     pair = frame(spark, " ".join(shared + [s[0] for s in same]), " ".join(shared + [s[1] for s in same]))
