@@ -36,10 +36,13 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        edges = common.stored(both.join(common.stored(least), "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct())
-        least = common.stored(edges.groupBy("u").agg(F.min("v").alias("m")))
-        over = edges.join(least, "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = common.stored(least)
+        large = common.stored(both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct())
+        common.dropped(edges, least)
+        least = common.stored(large.groupBy("u").agg(F.min("v").alias("m")))
+        over = large.join(least, "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = common.stored(over.unionByName(least.withColumnRenamed("m", "v")).distinct())
+        common.dropped(large, least)
         now = _mark(edges)
         if now == mark:
             break
@@ -70,10 +73,14 @@ class _Search:
         self.found: DataFrame | None = None
         self.ids: DataFrame | None = None
         self.crowd: DataFrame | None = None
+        self.candidates: DataFrame | None = None
         self.compared_across = False
 
     def compare(self, pairs: DataFrame) -> None:
-        pairs = common.stored(_tested(pairs, self.records, self.near))
+        if self.candidates is None:
+            asked = pairs.select(F.explode(F.array("a", "b")).alias("id")).unionByName(self.crowd.select("id")).distinct()
+            self.candidates = common.stored(self.records.join(asked, "id", "left_semi"))
+        pairs = common.stored(_tested(pairs, self.candidates, self.near))
         if self.ids is None:
             # all that any comparison may ask for, so that texts are read once
             self.ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).unionByName(self.crowd.select("id")).distinct()
