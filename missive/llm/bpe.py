@@ -1,13 +1,16 @@
 """Byte-level BPE encoding and decoding by overlapping chunks.
 
-A text of up to CHUNK code points is encoded where it lies. A longer one is cut
-into windows of CHUNK code points plus OVERLAP of the next window; the windows
-are dealt out, pre-tokenised and encoded in parallel, and then stitched. Two
-neighbouring windows are joined at the first place in their overlap where both
-have a pre-token boundary: the split pattern never looks back, so from such a
-place on both split alike. Where an overlap has none (a run of one kind longer
-than the overlap), the two windows are joined and split again from the last
-certain boundary. Decoding concatenates the tokens' bytes.
+Every text is cut into windows of CHUNK code points plus OVERLAP of the next window,
+which are pre-tokenised each by itself and then stitched. Two neighbouring windows are
+joined at the first place in their overlap where both have a pre-token boundary: the
+split pattern never looks back, so from such a place on both split alike. Where an
+overlap has none (a run of one kind longer than the overlap), the two windows are
+joined and split again from the last certain boundary. The pieces between the joints
+are encoded, and their ids follow one another. Decoding concatenates the tokens' bytes.
+
+The windows of a text of up to DEALT code points are worked on where it lies. Those of
+a longer one have DEALT code points, are dealt out, pre-tokenised and encoded in
+parallel, and then stitched by the same code.
 
 Text that is null counts as empty; it has no tokens.
 """
@@ -25,8 +28,8 @@ from pyspark.sql import functions as F
 
 from . import common
 
-CHUNK = 1 << 16
-OVERLAP = 1 << 12
+CHUNK, OVERLAP = 1 << 10, 1 << 7
+DEALT, DEALT_OVERLAP = 1 << 16, 1 << 12
 SLICE_BYTES = 4 << 20
 #: A boundary this near to a window's end may move once more text is seen:
 #: the longest alternative that a following character can complete has 3.
@@ -60,22 +63,37 @@ def decode(ids: list[int], path: str) -> bytes:
 
 
 class Window:
-    """A piece of a text from `start` on: the ends of its pre-tokens and their ids."""
+    """A piece of a text from `start` on, and the ends of its pre-tokens."""
 
-    def __init__(self, start: int, text: str, last: bool, ends: list[int], ids: list[list[int]]):
+    def __init__(self, start: int, text: str, last: bool, ends: list[int], ids: list[list[int]] | None = None):
         self.start, self.text, self.last, self.ends, self.ids = start, text, last, ends, ids
 
     @classmethod
     def split(cls, start: int, text: str, last: bool, path: str) -> Window:
-        own, pattern, _ = codec(path)
-        found = [m.end() for m in pattern.finditer(text)]
-        ids = [own.encode_ordinary(text[a:b]) for a, b in zip([0, *found], found, strict=False)]
-        return cls(start, text, last, [start + e for e in found], ids)
+        return cls(start, text, last, [start + m.end() for m in codec(path)[1].finditer(text)])
 
     def sure(self) -> set[int]:
         stop = self.start + len(self.text) - (0 if self.last else UNSURE)
         return {e for e in [self.start, *self.ends] if e <= stop}
 
+    def each(self, path: str) -> list[list[int]]:
+        """The ids of every pre-token."""
+        encode = codec(path)[0].encode_ordinary
+        return [encode(self.text[a - self.start : b - self.start]) for a, b in zip([self.start, *self.ends], self.ends, strict=False)]
+
+    def encoded(self, a: int, b: int, path: str) -> list[int]:
+        """The ids of the text between two boundaries."""
+        if self.ids is None:
+            return codec(path)[0].encode_ordinary(self.text[a - self.start : b - self.start])
+        return [i for end, ids in zip(self.ends, self.ids, strict=True) if a < end <= b for i in ids]
+
+
+def windows_of(text: str, chunk: int, overlap: int, path: str) -> list[Window]:
+    starts = range(0, max(len(text), 1), chunk)
+    if len(starts) == 1:
+        return [Window(0, text, True, [len(text)])]
+    return [Window.split(a, text[a : a + chunk + overlap], a + chunk >= len(text), path) for a in starts]
+
 
 def stitch(windows: list[Window], path: str) -> list[int]:
     """The ids of the whole text from its windows in order."""
@@ -88,14 +106,9 @@ def stitch(windows: list[Window], path: str) -> list[int]:
             rest = now.text[at - now.start :] + after.text[now.start + len(now.text) - after.start :]
             now = Window.split(at, rest, after.last, path)
             continue
-        for end, ids in zip(now.ends, now.ids, strict=True):
-            if at < end <= meet:
-                out += ids
+        out += now.encoded(at, meet, path)
         at, now = meet, after
-    for end, ids in zip(now.ends, now.ids, strict=True):
-        if end > at:
-            out += ids
-    return out
+    return out + now.encoded(at, now.start + len(now.text), path)
 
 
 def _digest(doc_id, ids: list[int], path: str) -> tuple:
@@ -111,12 +124,11 @@ def _rows(rows: list[tuple], ids: list[list[int]] | None) -> pa.Table:
     return pa.table(out)
 
 
-def _whole(path: str, keep_ids: bool) -> Callable:
+def _here(path: str, keep_ids: bool, chunk: int, overlap: int) -> Callable:
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(path)[0]
         for batch in batches:
             for part in common.slices(batch, "text", SLICE_BYTES):
-                ids = [own.encode_ordinary(t or "") for t in part.column("text").to_pylist()]
+                ids = [stitch(windows_of(t or "", chunk, overlap, path), path) for t in part.column("text").to_pylist()]
                 rows = [_digest(d, i, path) for d, i in zip(part.column("doc_id").to_pylist(), ids, strict=True)]
                 yield from _rows(rows, ids if keep_ids else None).to_batches()
 
@@ -128,7 +140,8 @@ def _windows(path: str) -> Callable:
         for batch in batches:
             for row in batch.to_pylist():
                 w = Window.split(row["start"], row["text"], row["last"], path)
-                yield pa.RecordBatch.from_pylist([{**row, "ends": w.ends, "n": [len(i) for i in w.ids], "ids": [x for i in w.ids for x in i]}], schema=_WINDOW)
+                ids = w.each(path)
+                yield pa.RecordBatch.from_pylist([{**row, "ends": w.ends, "n": [len(i) for i in ids], "ids": [x for i in ids for x in i]}], schema=_WINDOW)
 
     return encode
 
@@ -154,7 +167,7 @@ def _stitched(path: str, keep_ids: bool) -> Callable:
     return join
 
 
-def encode(docs: DataFrame, path: str | None = None, keep_ids: bool = False, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
+def encode(docs: DataFrame, path: str | None = None, keep_ids: bool = False, chunk: int = CHUNK, overlap: int = OVERLAP, dealt: int = DEALT, dealt_overlap: int = DEALT_OVERLAP) -> DataFrame:
     """Encode docs(doc_id, text) by the ranks at `path`, then decode the ids.
 
     One row for each row of docs: doc_id, n_tokens, ids_sha256 (of the decimal
@@ -167,13 +180,13 @@ def encode(docs: DataFrame, path: str | None = None, keep_ids: bool = False, chu
     ddl = _DDL + (", token_ids array<int>" if keep_ids else "")
     rows = docs.select("doc_id", "text")
     size = F.char_length("text")
-    short = rows.filter(F.coalesce(size <= chunk, F.lit(True))).mapInArrow(_whole(path, keep_ids), ddl)
-    number = F.explode(F.sequence(F.lit(0), F.ceil(F.col("size") / chunk).cast("int") - 1))
+    short = rows.filter(F.coalesce(size <= dealt, F.lit(True))).mapInArrow(_here(path, keep_ids, chunk, overlap), ddl)
+    number = F.explode(F.sequence(F.lit(0), F.ceil(F.col("size") / dealt).cast("int") - 1))
     windows = (
-        rows.filter(size > chunk)
+        rows.filter(size > dealt)
         .select(F.monotonically_increasing_id().alias("row"), "doc_id", "text", size.alias("size"))
         .select("row", "doc_id", "text", "size", number.alias("k"))
-        .select("row", "doc_id", (F.col("k") * F.lit(chunk).cast("long")).alias("start"), ((F.col("k") + 1) * chunk >= F.col("size")).alias("last"), F.col("text").substr(F.col("k") * chunk + 1, F.lit(chunk + overlap)).alias("text"))
+        .select("row", "doc_id", (F.col("k") * F.lit(dealt).cast("long")).alias("start"), ((F.col("k") + 1) * dealt >= F.col("size")).alias("last"), F.col("text").substr(F.col("k") * dealt + 1, F.lit(dealt + dealt_overlap)).alias("text"))
         .repartition("row", "start")
     )
     long = windows.mapInArrow(_windows(path), _WINDOW_DDL).groupBy("row").applyInArrow(_stitched(path, keep_ids), ddl)
