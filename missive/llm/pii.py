@@ -17,7 +17,7 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
 from functools import cache
 
@@ -32,7 +32,8 @@ KINDS = ("email", "ip", "card", "phone")
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]+(?:\.[0-9]+){3}")
+#: A match can begin at the start of a run of digits only, which keeps long runs linear.
+_IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
@@ -49,6 +50,11 @@ def _luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def _octet(digits: str) -> bool:
+    """Whether digits without leading zeros are 255 at most."""
+    return len(digits) <= 3 and int(digits or 0) <= 255
+
+
 def emails(text: str) -> list[tuple[int, int]]:
     """Leftmost non-overlapping matches of the e-mail pattern, found from each "@":
     the local part is the whole run of its characters before it, as no match can
@@ -71,7 +77,7 @@ def plain(text: str) -> list[tuple[int, int, int]]:
     found = [(a, 0, b) for a, b in emails(text)] if "@" in text else []
     if _DIGIT.search(text):
         if "." in text:
-            found += [(m.start(), 1, m.end()) for m in _IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))]
+            found += [(m.start(), 1, m.end()) for m in _IP.finditer(text) if all(_octet(p.lstrip("0")) for p in m[0].split("."))]
         for m in _CARD.finditer(text):
             digits = m[0].replace(" ", "").replace("-", "")
             if 12 <= len(digits) <= 19 and _luhn(digits):
@@ -145,9 +151,9 @@ _WORD = "|".join(sorted(_DIGIT_WORDS, key=len, reverse=True))
 _SPELLED = re.compile(rf"(?<!\w)(?:plus[\s-]+)?(?:{_WORD})(?:[\s,.-]{{1,2}}(?:{_WORD}|[0-9]+|point|dot)(?!\w)){{2,}}", re.I)
 _PART = re.compile(rf"(?P<word>{_WORD})(?!\w)|(?P<figure>[0-9]+)|(?P<plus>plus)|(?P<dot>point|dot)|(?P<gap>[\s,.-]+)", re.I)
 #: A bracketed "at" or "dot" is a disguise wherever it stands between names.
-_BRACKETED = re.compile(r"\s*[\[({<]\s*(at|@|dot|\.|point|punkt|punto|arobase)\s*[\])}>]\s*", re.I)
+_BRACKETED = re.compile(r"(?:(?<!\s)\s+)?[\[({<]\s*(at|@|dot|\.|point|punkt|punto|arobase)\s*[\])}>]\s*", re.I)
 #: A bare "at" is one only as in: name at host dot net.
-_BARE = re.compile(r"(?<![\w.%+-])([A-Za-z0-9._%+-]+(?:\s+dot\s+[A-Za-z0-9_%+-]+)*)(\s+at\s+|\s*@\s*)([A-Za-z0-9-]+)((?:\s+dot\s+[A-Za-z0-9-]+)+)(?![\w-])", re.I)
+_BARE = re.compile(r"(?<![\w.%+-])([A-Za-z0-9._%+-]+(?:\s+dot\s+[A-Za-z0-9_%+-]+){0,9})(\s+at\s+|\s*@\s*)([A-Za-z0-9-]+)((?:\s+dot\s+[A-Za-z0-9-]+)+)(?![\w-])", re.I)
 _BARE_DOT = re.compile(r"\s+dot\s+", re.I)
 #: With real dots in the host, the name must look like one: a digit or a mark in it.
 _SPACED = re.compile(r"(?<![\w.%+-])(?=[A-Za-z_%+-]*[0-9._%+])[A-Za-z0-9._%+-]*[A-Za-z0-9](\s+at\s+)(?=[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}(?![\w@]))", re.I)
@@ -272,14 +278,24 @@ def spans(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[int,
     """(plain spans, all spans), each (start, kind number, end) by start, then kind."""
     text = text or ""
     base = plain(text)
+    # spans of one kind are in order and apart, and so are the added ones
+    kinds = [[(a, b) for a, kind, b in base if kind == k] for k in range(len(KINDS))]
+    taken: list[tuple[int, int]] = []
     added: list[tuple[int, int, int]] = []
     for start, kind, end in sorted(disguised(text), key=lambda s: (s[0] - s[2], s)):
-        over = [(s, k, e) for s, k, e in base if start < e and s < end]
-        if all(start <= s and e <= end and (start, end) != (s, e) for s, _, e in over) and not any(start < e and s < end for s, _, e in added):
+        over = [span for own in kinds for span in _meeting(own, start, end)]
+        if all(start <= a and b <= end and (start, end) != (a, b) for a, b in over) and not _meeting(taken, start, end):
             added.append((start, kind, end))
+            insort(taken, (start, end))
     return base, sorted(base + added) if added else base
 
 
+def _meeting(apart: list[tuple[int, int]], start: int, end: int) -> list[tuple[int, int]]:
+    """Those of spans in order and apart that overlap [start, end)."""
+    first = bisect_right(apart, start, key=lambda s: s[1])
+    return apart[first : bisect_left(apart, end, key=lambda s: s[0])]
+
+
 def _listed(found: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in found)
 

@@ -5,6 +5,7 @@ import collections
 import hashlib
 import math
 import re
+import time
 import zlib
 
 import numpy as np
@@ -126,18 +127,25 @@ def test_stitching_equals_whole_text():
     for _ in range(150):
         text = "".join(rng.choice(alphabet) * int(rng.choice([1, 1, 2, 30])) for _ in range(rng.integers(1, 120)))
         for chunk, overlap in ((7, 3), (20, 10), (50, 12)):
-            windows = [bpe.Window.split(i, text[i : i + chunk + overlap], i + chunk >= len(text), path) for i in range(0, len(text), chunk)]
+            windows = bpe.windows_of(text, chunk, overlap, path)
+            assert len(windows) == max(1, -(-len(text) // chunk))
             ids = bpe.stitch(windows, path)
             assert ids == own.encode_ordinary(text)
             assert bpe.decode(ids, path) == text.encode()
 
 
-def test_chunked_encoding_equals_whole(spark):
-    whole = {r.doc_id: r for r in bpe.encode(documents(spark)).collect()}
-    cut = {r.doc_id: r for r in bpe.encode(documents(spark), chunk=300, overlap=16).collect()}
-    assert whole == cut
-    for r in documents(spark).limit(20).collect():
-        assert whole[r.doc_id].decoded_sha256 == hashlib.sha256((r.text or "").encode()).hexdigest()
+def test_windows_dealt_and_not_give_the_library_s_ids(spark):
+    own = bpe.codec(bpe.vocabulary_path())[0]
+    docs = documents(spark, SF01)
+    found = {r.doc_id: r for r in bpe.encode(docs).collect()}
+    cut = {r.doc_id: r for r in bpe.encode(docs, chunk=60, overlap=9, dealt=500, dealt_overlap=30).collect()}
+    assert found == cut
+    rows = docs.collect()
+    assert np.median([len(r.text or "") for r in rows]) > bpe.CHUNK  # so that most texts are stitched
+    for r in rows:
+        ids = own.encode_ordinary(r.text or "")
+        want = hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((r.text or "").encode()).hexdigest()
+        assert (found[r.doc_id].n_tokens, found[r.doc_id].ids_sha256, found[r.doc_id].decoded_sha256) == (len(ids), *want)
 
 
 # ------------------------------------------------------------ 4
@@ -168,6 +176,32 @@ def test_plain_spans_equal_the_patterns(spark):
         assert got[r.doc_id].n_email == sum(k == 0 for _, k, _ in base)
 
 
+def test_hostile_texts_take_no_time():
+    """Long runs that a detector or a transducer could search again and again."""
+    big = 100_000
+    hostile = ["1" * big + ".", "0" * big + ".1.1.1", "1." * big, " " * big + "(at)", "( " * big + "at dot ", "a dot " * big, "+1" * big, "a@" * big, "a @ " * big, "1 O " * big]
+    began = time.perf_counter()
+    for text in hostile:
+        assert all(0 <= a < b <= len(text) for a, _, b in pii.spans(text)[1])
+    many = "a at b dot com 10.0.0.1 " * 20_000
+    assert len(pii.spans(many)[0]) == 20_000 and len(pii.spans(many)[1]) == 40_000
+    assert pii.spans("see " + "0" * 5000 + ".1.1.1 end")[0] == [(4, 1, 5010)] and pii.spans("9" * 5000 + ".1.1.1")[0] == []
+    assert time.perf_counter() - began < 60
+
+
+def test_spans_are_chosen_as_by_comparing_all():
+    rng = np.random.default_rng(11)
+    parts = ["bob", " at ", " dot ", "com", "a@b.c", "1.2.3.4", " [at] ", "jоe@x.y", " one two three ", "+1 234 567 890", " ", "4l11 1l11 1111 11l1"]
+    for _ in range(1500):
+        text = "".join(rng.choice(parts) for _ in range(rng.integers(1, 14)))
+        base, added = pii.plain(text), []
+        for start, kind, end in sorted(pii.disguised(text), key=lambda s: (s[0] - s[2], s)):
+            over = [(s, e) for s, _, e in base if start < e and s < end]
+            if all(start <= s and e <= end and (start, end) != (s, e) for s, e in over) and not any(start < e and s < end for s, _, e in added):
+                added.append((start, kind, end))
+        assert pii.spans(text) == (base, sorted(base + added))
+
+
 @pytest.mark.parametrize(
     "text, hidden",
     [
