@@ -12,6 +12,7 @@ length, or the same place and an earlier rule) are suppressed.
 from __future__ import annotations
 
 import re
+import string
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -179,7 +180,7 @@ def _places(words: str, phrase: str) -> Column:
 
 
 def _gate(low: Column) -> Column:
-    """Whether a lower-cased text can hold a base phrase or a rule's match."""
+    """Whether a text in lower case (of all letters, which lets no fewer pass) can hold a base phrase or a rule's match."""
     found = F.lit(False)
     for stem in STEMS:
         found = found | low.contains(stem)
@@ -198,8 +199,8 @@ def scan(docs: DataFrame) -> DataFrame:
     table = F.broadcast(spark.createDataFrame(rules(), "rule int, label string, keyword string, priority int, expression string"))
     keywords = sorted({k for _, _, k, _, _ in rules()})
     text = F.coalesce("text", F.lit(""))
-    low = F.lower(text)
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id"), F.regexp_count(text, F.lit(_ANY_CASE_WORD)).cast("long").alias("n_words"), F.when(_gate(low), F.regexp_extract_all(low, F.lit(_WORD), F.lit(0))).alias("words"))
+    low = F.translate(text, string.ascii_uppercase, string.ascii_lowercase)
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id"), F.regexp_count(text, F.lit(_ANY_CASE_WORD)).cast("long").alias("n_words"), F.when(_gate(F.lower(text)), F.regexp_extract_all(low, F.lit(_WORD), F.lit(0))).alias("words"))
     for n, phrase in enumerate(BASE):
         rows = rows.withColumn(f"base{n}", _places("words", phrase))
     every = F.coalesce(F.concat(*[F.col(f"base{n}") for n in range(len(BASE))]), F.array().cast("array<int>"))
