@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
@@ -13,17 +14,17 @@ from missive.schema import CALL
 
 DEFAULT_PAGE = 50
 DEFAULT_THREAD = 100_000
+_RFC3339 = re.compile(r"[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}([.,][0-9]+)?(Z|[+-][0-9]{2}:[0-9]{2})")
 
 
 def instant(text: str | None) -> int | None:
     """Epoch seconds of an RFC 3339 time; anything else is no bound at all."""
-    if not text or "T" not in text:
+    if not _RFC3339.fullmatch(text or ""):
         return None
     try:
-        at = datetime.fromisoformat(text.replace("Z", "+00:00"))
-    except ValueError:
+        return int(datetime.fromisoformat(text).timestamp() // 1)
+    except ValueError:  # no such day or hour
         return None
-    return int(at.timestamp()) if at.tzinfo else None
 
 
 def between(messages: DataFrame, start: int | None = None, end: int | None = None) -> DataFrame:

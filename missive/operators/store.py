@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -81,7 +83,9 @@ class Store:
         number = self.imports().agg(F.max("id")).collect()[0][0] or 0
         _numbered(done, ["file"], number).select("id", "file_hash", "record_count", "chain_hash", "canon_version", F.current_timestamp().alias("created_at")).write.mode("append").parquet(f"{self.path}/imports")
         result = status.join(rows.groupBy("file").agg(F.count("*").alias("records")), "file", "left").select("file", "status", F.coalesce("records", F.lit(0)).alias("records"))
-        kept = self.spark.createDataFrame(result.collect(), result.schema)  # a row for each file
+        log = f"{self.path}/log/{uuid.uuid4().hex}"
+        result.write.parquet(log)
+        kept = self.spark.read.schema(result.schema).parquet(log)
         raw.unpersist()
         rows.unpersist()
         return kept

@@ -53,6 +53,9 @@ def test_parameters():
     assert analytics.parameters() == (10, 0) and analytics.parameters("50", "-840") == (50, -840)
     assert analytics.parameters("51", "841") == (10, 0) and analytics.parameters("x", None) == (10, 0)
     assert reads.instant("2024-01-01T00:00:00Z") == 1704067200 and reads.instant("yesterday") is None and reads.instant("2024-01-01") is None
+    assert reads.instant("2024-01-01T01:00:00.5+01:00") == 1704067200 and reads.instant(None) is None
+    for loose in ("2024-01-01T00Z", "2024-W01-1T00:00:00Z", "20240101T000000Z", "2024-01-01T00:00:00", "2024-13-01T00:00:00Z", "2024-01-01 00:00:00Z"):
+        assert reads.instant(loose) is None
     assert reads.is_last(49) and not reads.is_last(50)
     assert control.settings_of(None)["message_limit"] == 100_000 and control.settings_of('{"show_calls": false}')["show_calls"] is False
 
