@@ -85,9 +85,12 @@ class _Search:
             # all that any comparison may ask for, so that texts are read once
             self.ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).unionByName(self.crowd.select("id")).distinct()
         more = common.stored(self.verified(pairs, self.ids))
+        common.dropped(pairs)
         self.links = more if self.links is None else self.links.unionByName(more)
 
     def join_components(self) -> None:
+        if self.found is not None:
+            common.dropped(self.found)
         self.found = common.stored(components(self.links))
 
     def placed(self, members: DataFrame) -> DataFrame:
@@ -118,9 +121,9 @@ class _Search:
         self.compared_across = not across.isEmpty()
         if self.compared_across:
             self.compare(across)
-        if last:
-            return None
-        return common.stored(members.join(mixed.filter(F.col("apart") > APART), "key").select("id").distinct())
+        crowded = None if last else common.stored(members.join(mixed.filter(F.col("apart") > APART), "key").select("id").distinct())
+        common.dropped(shared, crowd, members, mixed, across)
+        return crowded
 
 
 def grouped(records: DataFrame, keys: Column, near: Callable[[str, str], Column], verified: Callable[[DataFrame, DataFrame], DataFrame], finer: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -135,7 +138,10 @@ def grouped(records: DataFrame, keys: Column, near: Callable[[str, str], Column]
     search = _Search(records, near, verified)
     crowded = search.sweep(records.select(F.explode(keys).alias("key"), "id"), last=False)
     if not crowded.isEmpty():
-        search.sweep(common.stored(finer(crowded)), last=True)
+        buckets = common.stored(finer(crowded))
+        search.sweep(buckets, last=True)
+        common.dropped(buckets)
     if search.compared_across:
         search.join_components()
+    common.dropped(crowded, search.candidates)
     return search.found
