@@ -194,14 +194,15 @@ def _item_words(text: str | None) -> list[bytes]:
 
 
 def windows(items: Iterable[tuple[object, str | None]], size: int) -> dict[tuple[bytes, ...], set[str]]:
-    """Windows of `size` consecutive words (a shorter item whole) and the items that have each."""
+    """Windows of `size` consecutive words (a shorter item whole) and the items that have
+    each; a null item has windows and no name."""
     out: dict[tuple[bytes, ...], set[str]] = {}
     for item, text in items:
-        if item is None:
-            continue
         found = _item_words(text)
         for i in range(max(1, len(found) - size + 1) if found else 0):
-            out.setdefault(tuple(found[i : i + size]), set()).add(str(item))
+            own = out.setdefault(tuple(found[i : i + size]), set())
+            if item is not None:
+                own.add(str(item))
     return out
 
 
@@ -255,8 +256,8 @@ def contamination(docs: DataFrame, bench: DataFrame, size: int = WINDOW) -> Data
     """One row for each row of docs: doc_id, n_words, n_hit, n_items, items_sha256,
     contaminated, and the lists behind them: items (ids as strings), hit (word numbers).
 
-    Null or empty text has no words and is clean. Benchmark rows without id or
-    words have no windows; rows that repeat an item_id count as one item. Rows
+    Null or empty text has no words and is clean. Benchmark rows without
+    words have no windows; those without id hit words and are not listed; rows that repeat an item_id count as one item. Rows
     that repeat a doc_id are judged one by one. With an empty benchmark every
     document is clean.
     """
@@ -299,7 +300,7 @@ dw AS (
   FROM d, (SELECT DISTINCT n FROM bw), unnest(range(1, len(w) - n + 2)) AS t(i) WHERE len(w) >= n),
 hit AS (SELECT doc_id, item_id, i, n FROM dw JOIN bw USING (n, g)),
 pos AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM hit, unnest(range(i, i + n)) AS t(p) GROUP BY doc_id),
-its AS (SELECT doc_id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS l FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS s FROM hit) GROUP BY doc_id)
+its AS (SELECT doc_id, count(s) AS n_items, string_agg(s, ',' ORDER BY s) AS l FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS s FROM hit) GROUP BY doc_id)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
   CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(l, '')) AS items_sha256,
   coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
