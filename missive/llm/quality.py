@@ -14,6 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import common
@@ -86,22 +87,19 @@ class Model:
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """Fit on docs(doc_id, text) labelled in labels(doc_id, quality), at most
-    SAMPLE_ROWS rows of each label, the first by a hash of their id. With rows
-    of one label only, or none, the score is that label's share, or 1/2."""
+    SAMPLE_ROWS rows of each label, the first by a hash of their id until their
+    texts reach half of SAMPLE_BYTES characters (one row at least; of rows that
+    repeat an id, the least text). With rows of one label only, or none, the score is that label's share, or 1/2."""
     spark = docs.sparkSession
     ids = []
     for label in (0, 1):
         first = labels.filter(F.col("quality") == label).select("doc_id").dropna().distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS)
         ids += [(r["doc_id"], label) for r in first.collect()]
     wanted = spark.createDataFrame(ids or [(None, None)], "doc_id long, label int")
-    rows = docs.select("doc_id", "text").join(F.broadcast(wanted), "doc_id")
-    kept, held = [], 0
-    for row in rows.select("doc_id", "label", "text").toLocalIterator():
-        kept.append((row["doc_id"], row["label"], row["text"]))
-        held += len(row["text"] or "")
-        if held > SAMPLE_BYTES:
-            break
-    kept.sort(key=lambda r: r[:2])
+    rows = docs.select("doc_id", "text").join(F.broadcast(wanted), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+    room = F.sum(F.coalesce(F.length("text"), F.lit(0)).cast("long")).over(W.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(W.unboundedPreceding, -1))
+    sized = rows.withColumn("before", F.coalesce(room, F.lit(0))).filter(F.col("before") < SAMPLE_BYTES // 2)
+    kept = sorted(((r["doc_id"], r["label"], r["text"]) for r in sized.collect()), key=lambda r: r[:2])
     n = {label: sum(r[1] == label for r in kept) for label in (0, 1)}
     if not n[0] or not n[1]:
         share = (n[1] + 0.5) / (n[0] + n[1] + 1)
