@@ -332,22 +332,12 @@ def mime_class(spark, sf_dir):
     return rows.select("id", "ct", mime.is_text(c).alias("is_text"), mime.is_smil(c).alias("is_smil"), mime.is_vcard(c).alias("is_vcard"), mime.is_heic(c).alias("is_heic"), mime.needs_video_conversion(c).alias("video"), mime.needs_audio_conversion(c).alias("audio"))
 
 
-@query(
-    f"""{WITH}, g AS (SELECT thread_id, list(DISTINCT address ORDER BY address) AS a FROM messages WHERE id % 97 < 3 GROUP BY thread_id)
-SELECT thread_id, CASE WHEN len(a) >= 3 THEN array_to_string(a, ',') ELSE '+15550001234' END AS address, CAST(len(a) AS INTEGER) AS participants FROM g"""
-)
-def group_address(spark, sf_dir):
-    rows = messages(spark, sf_dir).filter("id % 97 < 3").groupBy("thread_id").agg(F.collect_list(F.struct("address", F.lit("151").alias("type"))).alias("addrs"))
-    address, distinct = normalize.group_address(normalize.participants(F.col("addrs")), F.lit("(555) 000-1234"))
-    return rows.select("thread_id", address.alias("address"), F.size(distinct).alias("participants"))
-
-
 @query(
     f"""{WITH}, g AS (SELECT thread_id, list(DISTINCT address ORDER BY address) AS a FROM messages GROUP BY thread_id)
 SELECT thread_id, CASE WHEN len(a) >= 3 THEN array_to_string(a, ',') ELSE '+15550001234' END AS address, CAST(len(a) AS INTEGER) AS participants FROM g"""
 )
-def group_address_all(spark, sf_dir):
-    """The same over all messages; addresses are made distinct before they are gathered."""
+def group_address(spark, sf_dir):
+    """Addresses are made distinct before they are gathered."""
     distinct = messages(spark, sf_dir).select("thread_id", "address").distinct()
     rows = distinct.groupBy("thread_id").agg(F.collect_list(F.struct("address", F.lit("151").alias("type"))).alias("addrs"))
     address, found = normalize.group_address(normalize.participants(F.col("addrs")), F.lit("(555) 000-1234"))
@@ -399,9 +389,16 @@ def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The messages of every thread as one backup file."""
     body = F.replace("body", F.lit('"'), F.lit("&quot;"))
     parts = [F.lit('<sms address="'), F.col("address"), F.lit('" date="'), F.col("date") * 1000 + 7, F.lit('" type="'), F.col("type"), F.lit('" thread_id="'), F.col("thread_id"), F.lit('" body="'), body, F.lit('" />')]
-    rows = messages(spark, sf_dir).filter("record_type <> 3").select("id", "thread_id", F.concat(*[p.cast("string") for p in parts]).alias("raw"))
+    return _backups(messages(spark, sf_dir).filter("record_type <> 3").select("id", "thread_id", F.concat(*[p.cast("string") for p in parts]).alias("raw")))
+
+
+_HEAD, _FOOT = "<?xml version='1.0' encoding='UTF-8'?>\n<!-- <sms -->\n<smses>\n", "\n</smses>"
+
+
+def _backups(rows: DataFrame) -> DataFrame:
+    """Backup files of the elements in rows(id, thread_id, raw), one for each thread."""
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("id", "raw"))), lambda x: x["raw"])
-    whole = F.concat(F.lit("<?xml version='1.0' encoding='UTF-8'?>\n<!-- <sms -->\n<smses>\n"), F.array_join(ordered, "\n"), F.lit("\n</smses>"))
+    whole = F.concat(F.lit(_HEAD), F.array_join(ordered, "\n"), F.lit(_FOOT))
     return rows.groupBy("thread_id").agg(whole.alias("text")).select(F.concat(F.lit("thread-"), F.col("thread_id").cast("string"), F.lit(".xml")).alias("path"), F.encode("text", "UTF-8").alias("content"))
 
 
@@ -424,17 +421,68 @@ def import_rows(spark, sf_dir):
     return custody.import_rows(normalize.messages(backup.split(found)), backup.file_hashes(found)).select("file", "record_count", "chain_hash")
 
 
-# ------------------------------------------------------------ search
+_HEAD_SQL = "concat('" + _HEAD.replace("'", "''").replace("\n", "', chr(10), '") + "')"
 
-_WORDS = "WITH d AS (SELECT conv_id * 1000 + turn AS id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM conversations WHERE regexp_full_match(text, '[\\x00-\\x7F]*'))"
 
+@query(
+    f"""{WITH}, f AS (SELECT thread_id, concat({_HEAD_SQL}, string_agg({_SMS}, chr(10) ORDER BY id), chr(10), '</smses>') AS text FROM messages WHERE record_type <> 3 GROUP BY thread_id)
+SELECT concat('thread-', thread_id, '.xml') AS file, sha256(text) AS file_hash FROM f"""
+)
+def import_file_hash(spark, sf_dir):
+    """H1 of the files whose records import_rows counts."""
+    return backup.file_hashes(_files(spark, sf_dir))
 
-def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversation turns in ASCII, where folding and tokenising are plain in SQL."""
-    return _every_turn(spark, sf_dir).filter(F.col("body").rlike(r"^[\x00-\x7F]*$"))
 
+_CALL = """concat('<call number="', address, '" duration="', duration, '" date="', date * 1000 + 7, '" type="', type, '" presentation="', id % 3, '" subscription_id="sub', id % 2, '" contact_name="', coalesce(contact_name, ''), '" />')"""
+
+
+@query(
+    f"""{WITH} SELECT concat('thread-', thread_id, '.xml') AS file, row_number() OVER (PARTITION BY thread_id ORDER BY id) - 1 AS ordinal, 3 AS record_type, address, date, type, CAST(0 AS BIGINT) AS thread_id,
+duration, id % 3 AS presentation, concat('sub', id % 2) AS subscription_id, coalesce(contact_name, '') AS contact_name, CAST(NULL AS VARCHAR) AS body, sha256({_CALL}) AS content_hash FROM messages WHERE record_type = 3"""
+)
+def xml_import_calls(spark, sf_dir):
+    """Call elements split, hashed and normalised."""
+    n = F.col("id")
+    parts = ['<call number="', F.col("address"), '" duration="', F.col("duration"), '" date="', F.col("date") * 1000 + 7, '" type="', F.col("type"), '" presentation="', n % 3, '" subscription_id="sub', n % 2, '" contact_name="', F.coalesce("contact_name", F.lit("")), '" />']
+    raw = F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+    found = backup.split(_backups(messages(spark, sf_dir).filter("record_type = 3").select(n, "thread_id", raw.alias("raw"))))
+    return normalize.messages(found).select("file", "ordinal", "record_type", "address", "date", "type", "thread_id", "duration", "presentation", "subscription_id", "contact_name", "body", "content_hash")
+
+
+#: Multimedia elements: markup, two texts, an image (with bytes, with none that decode, or without any), two or three participants.
+_MMS = """concat('<mms address="', address, '" date="', date * 1000 + 7, '" msg_box="', type, '" ct_t="application/vnd.wap.multipart.related" m_id="m', id, '" sub="', CASE id % 3 WHEN 0 THEN 'null' ELSE concat('About ', id) END, '" m_size="', id % 1000, '" rr="129" read_status="x" sim_slot="', id % 2, '" read="1"><parts><part ct="application/smil" text="markup" /><part ct="text/plain" text="', replace(body, '"', '&quot;'), '" /><part ct="image/png" text="" data="', CASE id % 4 WHEN 0 THEN base64(encode(concat('image ', id))) WHEN 1 THEN '*' ELSE '' END, '" /><part ct="text/plain" text=" and ', id, ' " /></parts><addrs><addr address="', address, '" type="151" /><addr address="+19990000001" type="137" />', CASE WHEN id % 2 = 0 THEN '<addr address="+19990000002" type="130" />' ELSE '' END, '</addrs></mms>')"""
+
+
+@query(
+    f"""{WITH} SELECT concat('thread-', thread_id, '.xml') AS file, row_number() OVER (PARTITION BY thread_id ORDER BY id) - 1 AS ordinal, 2 AS record_type, date, type,
+concat(address, CASE WHEN id % 2 = 0 THEN ',+19990000001,+19990000002' ELSE '' END) AS address, concat(address, ',+19990000001', CASE WHEN id % 2 = 0 THEN ',+19990000002' ELSE '' END) AS addresses,
+CASE WHEN type = 1 THEN '+19990000001' ELSE '' END AS sender, trim(concat(body, '  and ', id)) AS body, CASE WHEN id % 4 = 0 THEN 'image/png' ELSE '' END AS media_type, CASE WHEN id % 4 = 0 THEN concat('image ', id) END AS media,
+CASE id % 3 WHEN 0 THEN '' ELSE concat('About ', id) END AS subject, concat('m', id) AS message_id, id % 1000 AS message_size, CAST(129 AS BIGINT) AS read_report, CAST(0 AS BIGINT) AS read_status, id % 2 AS sim_slot, sha256({_MMS}) AS content_hash
+FROM messages WHERE record_type = 2"""
+)
+def xml_import_mms(spark, sf_dir):
+    """Multimedia elements with parts and participants: group address, sender, body text and first media."""
+    n = F.col("id")
+    data = F.when(n % 4 == 0, F.base64(F.encode(F.concat(F.lit("image "), n.cast("string")), "UTF-8"))).when(n % 4 == 1, "*").otherwise("")
+    third = F.when(n % 2 == 0, '<addr address="+19990000002" type="130" />').otherwise("")
+    parts = [
+        '<mms address="', F.col("address"), '" date="', F.col("date") * 1000 + 7, '" msg_box="', F.col("type"), '" ct_t="application/vnd.wap.multipart.related" m_id="m', n, '" sub="',
+        F.when(n % 3 == 0, "null").otherwise(F.concat(F.lit("About "), n.cast("string"))), '" m_size="', n % 1000, '" rr="129" read_status="x" sim_slot="', n % 2,
+        '" read="1"><parts><part ct="application/smil" text="markup" /><part ct="text/plain" text="', F.replace("body", F.lit('"'), F.lit("&quot;")), '" /><part ct="image/png" text="" data="', data,
+        '" /><part ct="text/plain" text=" and ', n, ' " /></parts><addrs><addr address="', F.col("address"), '" type="151" /><addr address="+19990000001" type="137" />', third, "</addrs></mms>",
+    ]
+    raw = F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+    rows = normalize.messages(backup.split(_backups(messages(spark, sf_dir).filter("record_type = 2").select(n, "thread_id", raw.alias("raw")))))
+    own = ["file", "ordinal", "record_type", "date", "type", "address", "sender", "body", "media_type", "subject", "message_id", "message_size", "read_report", "read_status", "sim_slot", "content_hash"]
+    return rows.select(*own, F.array_join("addresses", ",").alias("addresses"), F.decode("media_data", "UTF-8").alias("media"))
+
+
+# ------------------------------------------------------------ search
 
-def _every_turn(spark: SparkSession, sf_dir: str) -> DataFrame:
+_WORDS = "WITH d AS (SELECT conv_id * 1000 + turn AS id, regexp_extract_all(strip_accents(lower(coalesce(text, ''))), '[\\p{L}\\p{N}\\p{Co}]+') AS w FROM conversations)"
+
+
+def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("role").alias("address"), F.lit("").alias("contact_name"), F.col("text").alias("body"), F.col("turn").alias("date"))
 
 
@@ -502,43 +550,6 @@ def search_results(spark, sf_dir):
     return search.search(_turns(spark, sf_dir), 'with OR "of the"', limit=100)
 
 
-#: The same searches over every turn, in any script; no SQL, a test holds them against brute force.
-EVERY_TURN = {
-    "search_term_all": "The",
-    "search_and_all": "the AND with",
-    "search_or_all": "from OR with",
-    "search_not_all": "the NOT with",
-    "search_phrase_all": '"of the"',
-    "search_prefix_all": "whi*",
-    "search_first_all": "^the",
-    "search_near_all": "NEAR(with from, 5)",
-}
-
-
-def _search_all(name: str, expression: str) -> None:
-    def found(spark, sf_dir):
-        return search.matches(search.postings(_every_turn(spark, sf_dir)), search.parse(expression)).distinct()
-
-    found.__name__ = name
-    query()(found)
-
-
-for _name, _expression in EVERY_TURN.items():
-    _search_all(_name, _expression)
-
-
-@query()
-def search_bm25_all(spark, sf_dir):
-    rows = _every_turn(spark, sf_dir)
-    index, tree = search.postings(rows), search.parse("with")
-    return search.scores(index, search.lengths(rows), search.matches(index, tree), tree).select("id", F.round("score", 6).alias("score"))
-
-
-@query()
-def search_results_all(spark, sf_dir):
-    return search.search(_every_turn(spark, sf_dir), 'with OR "of the"', limit=100)
-
-
 # ------------------------------------------------------------ export, control, cards
 
 
@@ -594,3 +605,83 @@ def vcard_parse(spark, sf_dir):
 def first_rows_of_address(spark, sf_dir):
     own = W.partitionBy("address").orderBy("date", "id")
     return messages(spark, sf_dir).select("address", "id", F.row_number().over(own).cast("bigint").alias("n")).filter("n <= 3")
+
+
+@query(
+    f"""{WITH} SELECT id, CASE WHEN record_type = 3 THEN 'call' ELSE 'message' END AS kind, CASE WHEN record_type = 3 THEN
+concat('{{"id":', id, ',"number":"', address, '","duration":', duration, ',"date":', date, ',"type":', type, CASE WHEN contact_name <> '' THEN concat(',"contact_name":"', contact_name, '"') ELSE '' END, '}}') ELSE
+concat('{{"id":', id, ',"address":"', address, '"', CASE WHEN body IS NOT NULL THEN concat(',"body":', CAST(to_json(body) AS VARCHAR)) ELSE '' END, ',"type":', type, ',"date":', date, ',"read":', read, ',"thread_id":', thread_id,
+CASE WHEN subject <> '' THEN concat(',"subject":"', subject, '"') ELSE '' END, CASE WHEN media_type <> '' THEN concat(',"media_type":"', media_type, '"') ELSE '' END, CASE WHEN contact_name <> '' THEN concat(',"contact_name":"', contact_name, '"') ELSE '' END,
+CASE WHEN content_type <> '' THEN concat(',"content_type":"', content_type, '"') ELSE '' END, '}}') END AS json FROM messages"""
+)
+def export_json_rows(spark, sf_dir):
+    """The JSON of every message and call, whole."""
+    rows = export.json_rows(messages(spark, sf_dir))
+    return rows.select(F.get_json_object("json", "$.id").cast("bigint").alias("id"), "kind", "json")
+
+
+@query("SELECT o_orderkey AS session_id, o_custkey AS user_id FROM orders WHERE CAST(floor(epoch(o_orderdate)) AS BIGINT) < 880000000")
+def sessions_expired(spark, sf_dir):
+    sessions = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("session_id"), F.col("o_custkey").alias("user_id"), F.unix_timestamp(F.col("o_orderdate").cast("timestamp")).alias("expires_at"))
+    return control.expired_sessions(sessions, 880_000_000).select("session_id", "user_id")
+
+
+@query("SELECT c_custkey AS id, trim(regexp_replace(lower(concat('__', c_name, ' & Co.')), '[^a-z0-9]+', '_', 'g'), '_') AS username FROM customer")
+def usernames(spark, sf_dir):
+    return _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), text.sanitize_username(F.concat(F.lit("__"), F.col("c_name"), F.lit(" & Co."))).alias("username"))
+
+
+@query("SELECT c_custkey AS id, substr(c_name, 3, 6) AS part FROM customer")
+def media_slice(spark, sf_dir):
+    """Bytes 2 to 7 of every blob."""
+    rows = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.encode("c_name", "UTF-8").alias("media_data"))
+    return reads.slice_media(rows, *reads.byte_range("bytes=2-7", 8)).select("id", F.decode("media_data", "UTF-8").alias("part"))
+
+
+@query(
+    f"""{WITH}, d AS (SELECT id, date, CAST(floor(({END} - date) / 86400) AS BIGINT) AS days, make_timestamp(date * 1000000) AS t, make_timestamp(CAST({END} AS BIGINT) * 1000000) AS now FROM messages)
+SELECT id, CASE WHEN days = 0 THEN strftime(t, 'Today at %-I:%M %p') WHEN days = 1 THEN strftime(t, 'Yesterday at %-I:%M %p') WHEN days < 7 THEN strftime(t, '%A at %-I:%M %p')
+WHEN year(t) = year(now) THEN strftime(t, '%b %-d, %-I:%M %p') ELSE strftime(t, '%b %-d, %Y, %-I:%M %p') END AS shown FROM d"""
+)
+def relative_dates(spark, sf_dir):
+    return messages(spark, sf_dir).select("id", labels.relative_date(F.col("date"), F.lit(END)).alias("shown"))
+
+
+@query(
+    f"""{WITH}, g AS (SELECT thread_id, count(DISTINCT address) AS n, count(*) AS total, count(*) FILTER (WHERE record_type = 1) AS done FROM messages GROUP BY thread_id)
+SELECT thread_id, n > 1 AS is_group, CAST(least(floor(done / total * 100 + 0.5), 100) AS INTEGER) AS percent FROM g"""
+)
+def thread_progress(spark, sf_dir):
+    """Whether a thread is a group, and the share of its records of one kind as progress."""
+    rows = messages(spark, sf_dir).groupBy("thread_id").agg(F.array_distinct(F.array(F.min("address"), F.max("address"))).alias("addresses"), F.count("*").alias("total"), F.count_if(F.col("record_type") == 1).alias("done"))
+    return rows.select("thread_id", labels.is_group(F.col("addresses")).alias("is_group"), labels.progress_percent(F.col("done"), F.col("total")).alias("percent"))
+
+
+@query(
+    f"""{WITH}, m AS (SELECT * FROM messages WHERE date >= {START} AND date <= {END}), t AS (SELECT * FROM m WHERE record_type <> 3)
+SELECT 'total' AS figure, '' AS name, count(*) AS n FROM m UNION ALL
+SELECT * FROM (SELECT 'contact', address, count(*) AS n FROM t GROUP BY address ORDER BY n DESC, address LIMIT 5) UNION ALL
+SELECT 'hour', CAST(h AS VARCHAR), coalesce(n, 0) FROM range(24) r(h) LEFT JOIN (SELECT CAST(floor((date - 18000) / 3600) AS BIGINT) % 24 AS h, count(*) AS n FROM t GROUP BY 1) USING (h) UNION ALL
+SELECT 'day', strftime(make_timestamp(date * 1000000), '%Y-%m-%d'), count(*) FROM t GROUP BY 2"""
+)
+def analytics_bundle(spark, sf_dir):
+    """All figures of one date range, offset five hours west."""
+    found = analytics.analytics(messages(spark, sf_dir), START, END, *analytics.parameters("5", "-300"))
+    shape = lambda df, figure, name, n: df.select(F.lit(figure).alias("figure"), name.cast("string").alias("name"), F.col(n).alias("n"))
+    return (
+        shape(found["summary"], "total", F.lit(""), "total_messages")
+        .unionByName(shape(found["top_contacts"], "contact", F.col("address"), "message_count"))
+        .unionByName(shape(found["hourly"], "hour", F.col("hour"), "count"))
+        .unionByName(shape(found["daily"], "day", F.col("day"), "count"))
+    )
+
+
+@query(
+    """SELECT c_custkey AS id, concat('Café ', c_custkey) AS name, CASE c_custkey % 3 WHEN 0 THEN concat('data:image/png;base64,QUJD', c_custkey) WHEN 1 THEN concat('https://host/', c_custkey, '.jpg') END AS photo FROM customer"""
+)
+def vcard_media(spark, sf_dir):
+    """Quoted-printable names; pictures as data, as links, and as neither."""
+    k = F.col("c_custkey").cast("string")
+    picture = F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit("PHOTO;ENCODING=BASE64;TYPE=PNG:QU\r\n JD"), k)).when(F.col("c_custkey") % 3 == 1, F.concat(F.lit("PHOTO:https://host/"), k, F.lit(".jpg"))).otherwise(F.concat(F.lit("PHOTO:file-"), k))
+    card = F.concat_ws("\r\n", F.lit("BEGIN:VCARD"), F.concat(F.lit("FN;ENCODING=QUOTED-PRINTABLE:Caf=E9 "), k), picture, F.lit("END:VCARD"))
+    return _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), vcard.parse_card(card).alias("c")).select("id", F.col("c.name").alias("name"), F.col("c.photo").alias("photo"))

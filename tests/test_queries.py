@@ -25,7 +25,7 @@ def test_group_address_takes_every_message(spark):
     everyone = {}
     for r in messages(spark, SF).select("thread_id", "address").collect():
         everyone.setdefault(r.thread_id, set()).add(r.address)
-    found = {r.thread_id: r for r in QUERIES["group_address_all"](spark, SF).collect()}
+    found = {r.thread_id: r for r in QUERIES["group_address"](spark, SF).collect()}
     assert {t: r.participants for t, r in found.items()} == {t: len(a) for t, a in everyone.items()}
     assert all(r.address == ",".join(sorted(everyone[t])) for t, r in found.items() if len(everyone[t]) >= 3)
 
@@ -41,14 +41,14 @@ def test_search_takes_every_turn(spark, tmp_path):
     joined = [f" {' '.join(w)} " for w in words]
     near = lambda w: any(abs(i - j) <= 6 for i, x in enumerate(w) if x == "with" for j, y in enumerate(w) if y == "from")
     want = {
-        "search_term_all": lambda w, j: "the" in w,
-        "search_and_all": lambda w, j: "the" in w and "with" in w,
-        "search_or_all": lambda w, j: "from" in w or "with" in w,
-        "search_not_all": lambda w, j: "the" in w and "with" not in w,
-        "search_phrase_all": lambda w, j: " of the " in j,
-        "search_prefix_all": lambda w, j: " whi" in j,
-        "search_first_all": lambda w, j: w[:1] == ["the"],
-        "search_near_all": lambda w, j: near(w),
+        "search_term": lambda w, j: "the" in w,
+        "search_and": lambda w, j: "the" in w and "with" in w,
+        "search_or": lambda w, j: "from" in w or "with" in w,
+        "search_not": lambda w, j: "the" in w and "with" not in w,
+        "search_phrase": lambda w, j: " of the " in j,
+        "search_prefix": lambda w, j: " whi" in j,
+        "search_first": lambda w, j: w[:1] == ["the"],
+        "search_near": lambda w, j: near(w),
     }
     for name, test in want.items():
         ids = {1000 + n for n, (w, j) in enumerate(zip(words, joined, strict=True)) if test(w, j)}
@@ -56,8 +56,8 @@ def test_search_takes_every_turn(spark, tmp_path):
     n, df, average = len(words), sum("with" in w for w in words), sum(map(len, words)) / len(words)
     idf = max(math.log((n - df + 0.5) / (df + 0.5)), 1e-6)
     scores = {1000 + i: round(-idf * w.count("with") * 2.2 / (w.count("with") + 1.2 * (0.25 + 0.75 * len(w) / average)), 6) for i, w in enumerate(words) if "with" in w}
-    assert {r.id: r.score for r in QUERIES["search_bm25_all"](spark, str(tmp_path)).collect()} == pytest.approx(scores, abs=2e-6)
-    results = {r.id: r.snippet for r in QUERIES["search_results_all"](spark, str(tmp_path)).collect()}
+    assert {r.id: r.score for r in QUERIES["search_bm25"](spark, str(tmp_path)).collect()} == pytest.approx(scores, abs=2e-6)
+    results = {r.id: r.snippet for r in QUERIES["search_results"](spark, str(tmp_path)).collect()}
     assert set(results) == {1000 + i for i, (w, j) in enumerate(zip(words, joined, strict=True)) if "with" in w or " of the " in j}
     assert "<mark>wîth</mark>" in results[1000]
 
