@@ -7,8 +7,11 @@ joined. Where a bucket is then still in several components, the members outside
 largest one are compared with all others: for up to APART of them in a bucket the
 work grows with its size and not with the square. A bucket with more has a key that
 many unrelated records share, such as the words of a phrase; its members are dealt
-anew by finer keys, which two near records share just as surely. A large group of
-copies so costs a comparison for each member, and no link is lost to the order.
+anew by finer keys, which two near records share just as surely. Where an operator has
+no finer keys, they are compared there and then: the records' own columns are tested
+within the join, and a pair comes out of the least key that it shares only, so what
+leaves the join is each possible link once. A large group of copies so costs a
+comparison for each member, and no link is lost to the order.
 """
 
 from __future__ import annotations
@@ -67,8 +70,8 @@ def _tested(pairs: DataFrame, records: DataFrame, near: Callable[[str, str], Col
 class _Search:
     """What a search for links has found so far."""
 
-    def __init__(self, records: DataFrame, near: Callable[[str, str], Column], verified: Callable[[DataFrame, DataFrame], DataFrame]):
-        self.records, self.near, self.verified = records, near, verified
+    def __init__(self, records: DataFrame, keys: Column, near: Callable[[str, str], Column], verified: Callable[[DataFrame, DataFrame], DataFrame]):
+        self.records, self.keys, self.near, self.verified = records, keys, near, verified
         self.links: DataFrame | None = None
         self.found: DataFrame | None = None
         self.ids: DataFrame | None = None
@@ -80,7 +83,10 @@ class _Search:
         if self.candidates is None:
             asked = pairs.select(F.explode(F.array("a", "b")).alias("id")).unionByName(self.crowd.select("id")).distinct()
             self.candidates = common.stored(self.records.join(asked, "id", "left_semi"))
-        pairs = common.stored(_tested(pairs, self.candidates, self.near))
+        self.confirm(common.stored(_tested(pairs, self.candidates, self.near)))
+
+    def confirm(self, pairs: DataFrame) -> None:
+        """Take up the links among stored pairs that are near by their records."""
         if self.ids is None:
             # all that any comparison may ask for, so that texts are read once
             self.ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).unionByName(self.crowd.select("id")).distinct()
@@ -96,8 +102,19 @@ class _Search:
     def placed(self, members: DataFrame) -> DataFrame:
         return members.join(self.found, "id", "left").withColumn("component", F.coalesce("component", "id"))
 
-    def sweep(self, buckets: DataFrame, last: bool) -> DataFrame | None:
-        """Compare the members of buckets(key, id); returns ids that need finer keys."""
+    def apart(self, here: DataFrame) -> DataFrame:
+        """Near pairs(a, b) in different components of buckets here(key, id, component, main)."""
+        names = [c for c, kind in self.records.dtypes if c != "id" and not kind.startswith("array")]
+        own = here.join(self.candidates.select("id", self.keys.alias("keys"), *names), "id")
+        one, other = (own.select("key", F.col("main").alias(f"main_{c}"), *[F.col(n).alias(f"{n}_{c}") for n in ("id", "component", "keys", *names)]) for c in "ab")
+        met = one.filter("component_a != main_a").join(other.drop("main_b"), "key")
+        once = (F.col("component_b") == F.col("main_a")) | (F.col("id_a") < F.col("id_b"))
+        met = met.filter((F.col("component_a") != F.col("component_b")) & once & self.near("_a", "_b") & (F.array_min(F.array_intersect("keys_a", "keys_b")) == F.col("key")))
+        return met.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"))
+
+    def sweep(self, buckets: DataFrame, last: bool, every: bool = False) -> DataFrame | None:
+        """Compare the members of buckets(key, id); returns ids that need finer keys.
+        With every, the records' own keys are the buckets and no pair is put off."""
         shared = common.stored(buckets.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.count("*").alias("n")).filter("a < b"))
         # shared keys are the smaller side by far, and unique: hashed, so that the buckets need no sort
         crowd = common.stored(buckets.join(shared.filter("n > 2").select("key", "a").hint("shuffle_hash"), "key"))
@@ -114,34 +131,42 @@ class _Search:
         sizes = sizes.agg(F.max(F.struct("count", "component")).alias("largest"), F.sum("count").alias("n"))
         mixed = sizes.select("key", F.col("largest.component").alias("main"), (F.col("n") - F.col("largest.count")).alias("apart")).filter("apart > 0")
         mixed = common.stored(mixed)
-        here = members.join(mixed if last else mixed.filter(F.col("apart") <= APART), "key")
-        one, other = (here.select("key", "main", F.col("id").alias(c), F.col("component").alias(f"component_{c}")) for c in "ab")
-        across = one.filter("component_a != main").join(other.drop("main"), "key").filter("component_a != component_b")
-        across = common.stored(across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        here = members.join(mixed if last or every else mixed.filter(F.col("apart") <= APART), "key")
+        if every:
+            across = common.stored(self.apart(here))
+        else:
+            one, other = (here.select("key", "main", F.col("id").alias(c), F.col("component").alias(f"component_{c}")) for c in "ab")
+            across = one.filter("component_a != main").join(other.drop("main"), "key").filter("component_a != component_b")
+            across = common.stored(across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
         self.compared_across = not across.isEmpty()
-        if self.compared_across:
+        if self.compared_across and every:
+            self.confirm(across)
+            across = None
+        elif self.compared_across:
             self.compare(across)
-        crowded = None if last else common.stored(members.join(mixed.filter(F.col("apart") > APART), "key").select("id").distinct())
-        common.dropped(shared, crowd, members, mixed, across)
+        crowded = None if last or every else common.stored(members.join(mixed.filter(F.col("apart") > APART), "key").select("id").distinct())
+        common.dropped(shared, crowd, members, mixed, *([] if across is None else [across]))
         return crowded
 
 
-def grouped(records: DataFrame, keys: Column, near: Callable[[str, str], Column], verified: Callable[[DataFrame, DataFrame], DataFrame], finer: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def grouped(records: DataFrame, keys: Column, near: Callable[[str, str], Column], verified: Callable[[DataFrame, DataFrame], DataFrame], finer: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(id, component) of all records that are linked to another.
 
     records(id, ...) is a stored table, and keys its column of bucket keys. near
     takes the suffixes of two records' columns and tests what they show; verified
     takes pairs(a, b), a < b, and ids(id) of all that it may be asked for, now or
     later, and returns the pairs that are links; finer takes ids(id) and returns
-    their more selective bucket keys (key, id).
+    their more selective bucket keys (key, id); without it no pair is put off.
     """
-    search = _Search(records, near, verified)
-    crowded = search.sweep(records.select(F.explode(keys).alias("key"), "id"), last=False)
-    if not crowded.isEmpty():
-        buckets = common.stored(finer(crowded))
-        search.sweep(buckets, last=True)
-        common.dropped(buckets)
+    search = _Search(records, keys, near, verified)
+    crowded = search.sweep(records.select(F.explode(keys).alias("key"), "id"), last=False, every=finer is None)
+    if crowded is not None:
+        if not crowded.isEmpty():
+            buckets = common.stored(finer(crowded))
+            search.sweep(buckets, last=True)
+            common.dropped(buckets)
+        common.dropped(crowded)
     if search.compared_across:
         search.join_components()
-    common.dropped(crowded, search.candidates)
+    common.dropped(search.candidates)
     return search.found
