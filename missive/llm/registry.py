@@ -1,6 +1,6 @@
 """Queries of the corpus operators and their SQL, by the name under which they are registered."""
 
-from missive.llm import bpe, decontamination, fingerprint, langid, licenses, linededup, minhash, ngramlm, pii, quality
+from missive.llm import bpe, decontamination, fingerprint, langid, licenses, linededup, minhash, ngramlm, pii, quality, whitening
 
 QUERIES = {
     "op1_decontamination": decontamination.op1_decontamination,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_minhash": minhash.op8_minhash,
     "op9_linededup": linededup.op9_linededup,
     "op10_ngramlm": ngramlm.op10_ngramlm,
+    "op11_whitening": whitening.op11_whitening,
 }
 
 ORACLE_SQL = {
