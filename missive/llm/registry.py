@@ -1,6 +1,6 @@
 """Queries of the corpus operators and their SQL, by the name under which they are registered."""
 
-from missive.llm import bpe, decontamination, fingerprint, langid, licenses, linededup, minhash, ngramlm, periodic, pii, quality, whitening
+from missive.llm import bpe, decontamination, fingerprint, langid, licenses, linededup, minhash, ngramlm, periodic, pii, quality, sharding, whitening
 
 QUERIES = {
     "op1_decontamination": decontamination.op1_decontamination,
@@ -15,6 +15,7 @@ QUERIES = {
     "op10_ngramlm": ngramlm.op10_ngramlm,
     "op11_whitening": whitening.op11_whitening,
     "op12_periodic": periodic.op12_periodic,
+    "op13_sharding": sharding.op13_sharding,
 }
 
 ORACLE_SQL = {

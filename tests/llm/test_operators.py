@@ -46,7 +46,7 @@ def test_sql(spark, name):
 
 
 def test_registered(spark):
-    assert [n.split("_")[0] for n in QUERIES] == [f"op{i}" for i in range(1, 13)]
+    assert [n.split("_")[0] for n in QUERIES] == [f"op{i}" for i in range(1, 14)]
 
 
 def test_edge_cases(spark, odd):
