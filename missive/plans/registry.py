@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from missive.functions import labels, mime, phone, text, vcard
 from missive.operators import analytics, control, custody, export, normalize, reads, search, store
-from missive.sources import backup
+from missive.session import shared_folder
+from missive.sources import backup, ranges
 from missive.sources.events import DAYS_SQL, MESSAGES_SQL, messages
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -280,10 +282,10 @@ def duration_format(spark, sf_dir):
     return rows.select("id", *[labels.duration(F.col("duration") * 37, s).alias(f"in_{s}") for s in ("summary", "activity", "thread")])
 
 
-@query("SELECT CAST(range AS INTEGER) AS hour, CASE WHEN range = 0 THEN '12 AM' WHEN range = 12 THEN '12 PM' WHEN range < 12 THEN concat(range, ' AM') ELSE concat(range - 12, ' PM') END AS label FROM range(24)")
+@query(f"{WITH}, h AS (SELECT id, CAST(floor(date / 3600) AS BIGINT) % 24 AS h FROM messages) SELECT id, CASE WHEN h = 0 THEN '12 AM' WHEN h = 12 THEN '12 PM' WHEN h < 12 THEN concat(h, ' AM') ELSE concat(h - 12, ' PM') END AS label FROM h")
 def hour_label(spark, sf_dir):
-    hours = spark.range(24).select(F.col("id").cast("int").alias("hour"))
-    return hours.select("hour", labels.hour(F.col("hour")).alias("label"))
+    """The hour of every message as a label."""
+    return messages(spark, sf_dir).select("id", labels.hour((F.floor(F.col("date") / 3600) % 24).cast("int")).alias("label"))
 
 
 @query(
@@ -322,13 +324,14 @@ _TYPES = ["text/plain", " TEXT/X-vCard", "application/smil", "image/HEIC", "vide
 
 
 @query(
-    f"""WITH t AS (SELECT i - 1 AS id, v AS ct, lower(trim(v)) AS c FROM (SELECT unnest({_TYPES}) AS v, generate_subscripts({_TYPES}, 1) AS i))
-SELECT CAST(id AS INTEGER) AS id, ct, starts_with(c, 'text/') OR c IN ('application/xml', 'application/json') AS is_text, contains(c, 'smil') AS is_smil, c IN ('text/vcard', 'text/x-vcard', 'text/directory') AS is_vcard,
+    f"""{WITH}, t AS (SELECT id, ct, lower(trim(ct)) AS c FROM (SELECT id, {_TYPES}[id % {len(_TYPES)} + 1] AS ct FROM messages))
+SELECT id, ct, starts_with(c, 'text/') OR c IN ('application/xml', 'application/json') AS is_text, contains(c, 'smil') AS is_smil, c IN ('text/vcard', 'text/x-vcard', 'text/directory') AS is_vcard,
 contains(c, 'heic') OR contains(c, 'heif') AS is_heic, contains(c, '3gp') OR contains(c, '3g2') OR contains(c, 'video/x-matroska') AS video, contains(c, 'audio/amr') OR contains(c, 'audio/3gpp') AS audio FROM t"""
 )
 def mime_class(spark, sf_dir):
+    """A content type on every message, and its classes."""
     c = F.col("ct")
-    rows = spark.createDataFrame(list(enumerate(_TYPES)), "id int, ct string")
+    rows = messages(spark, sf_dir).select("id", F.get(F.array(*map(F.lit, _TYPES)), F.col("id") % len(_TYPES)).alias("ct"))
     return rows.select("id", "ct", mime.is_text(c).alias("is_text"), mime.is_smil(c).alias("is_smil"), mime.is_vcard(c).alias("is_vcard"), mime.is_heic(c).alias("is_heic"), mime.needs_video_conversion(c).alias("video"), mime.needs_audio_conversion(c).alias("audio"))
 
 
@@ -385,11 +388,15 @@ def imports_latest(spark, sf_dir):
 _SMS = """concat('<sms address="', address, '" date="', date * 1000 + 7, '" type="', type, '" thread_id="', thread_id, '" body="', replace(body, '"', '&quot;'), '" />')"""
 
 
-def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The messages of every thread as one backup file."""
+def _sms() -> Column:
     body = F.replace("body", F.lit('"'), F.lit("&quot;"))
     parts = [F.lit('<sms address="'), F.col("address"), F.lit('" date="'), F.col("date") * 1000 + 7, F.lit('" type="'), F.col("type"), F.lit('" thread_id="'), F.col("thread_id"), F.lit('" body="'), body, F.lit('" />')]
-    return _backups(messages(spark, sf_dir).filter("record_type <> 3").select("id", "thread_id", F.concat(*[p.cast("string") for p in parts]).alias("raw")))
+    return F.concat(*[p.cast("string") for p in parts])
+
+
+def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The messages of every thread as one backup file."""
+    return _backups(messages(spark, sf_dir).filter("record_type <> 3").select("id", "thread_id", _sms().alias("raw")))
 
 
 _HEAD, _FOOT = "<?xml version='1.0' encoding='UTF-8'?>\n<!-- <sms -->\n<smses>\n", "\n</smses>"
@@ -436,16 +443,19 @@ def import_file_hash(spark, sf_dir):
 _CALL = """concat('<call number="', address, '" duration="', duration, '" date="', date * 1000 + 7, '" type="', type, '" presentation="', id % 3, '" subscription_id="sub', id % 2, '" contact_name="', coalesce(contact_name, ''), '" />')"""
 
 
+def _call() -> Column:
+    n = F.col("id")
+    parts = ['<call number="', F.col("address"), '" duration="', F.col("duration"), '" date="', F.col("date") * 1000 + 7, '" type="', F.col("type"), '" presentation="', n % 3, '" subscription_id="sub', n % 2, '" contact_name="', F.coalesce("contact_name", F.lit("")), '" />']
+    return F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+
+
 @query(
     f"""{WITH} SELECT concat('thread-', thread_id, '.xml') AS file, row_number() OVER (PARTITION BY thread_id ORDER BY id) - 1 AS ordinal, 3 AS record_type, address, date, type, CAST(0 AS BIGINT) AS thread_id,
 duration, id % 3 AS presentation, concat('sub', id % 2) AS subscription_id, coalesce(contact_name, '') AS contact_name, CAST(NULL AS VARCHAR) AS body, sha256({_CALL}) AS content_hash FROM messages WHERE record_type = 3"""
 )
 def xml_import_calls(spark, sf_dir):
     """Call elements split, hashed and normalised."""
-    n = F.col("id")
-    parts = ['<call number="', F.col("address"), '" duration="', F.col("duration"), '" date="', F.col("date") * 1000 + 7, '" type="', F.col("type"), '" presentation="', n % 3, '" subscription_id="sub', n % 2, '" contact_name="', F.coalesce("contact_name", F.lit("")), '" />']
-    raw = F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
-    found = backup.split(_backups(messages(spark, sf_dir).filter("record_type = 3").select(n, "thread_id", raw.alias("raw"))))
+    found = backup.split(_backups(messages(spark, sf_dir).filter("record_type = 3").select("id", "thread_id", _call().alias("raw"))))
     return normalize.messages(found).select("file", "ordinal", "record_type", "address", "date", "type", "thread_id", "duration", "presentation", "subscription_id", "contact_name", "body", "content_hash")
 
 
@@ -453,15 +463,7 @@ def xml_import_calls(spark, sf_dir):
 _MMS = """concat('<mms address="', address, '" date="', date * 1000 + 7, '" msg_box="', type, '" ct_t="application/vnd.wap.multipart.related" m_id="m', id, '" sub="', CASE id % 3 WHEN 0 THEN 'null' ELSE concat('About ', id) END, '" m_size="', id % 1000, '" rr="129" read_status="x" sim_slot="', id % 2, '" read="1"><parts><part ct="application/smil" text="markup" /><part ct="text/plain" text="', replace(body, '"', '&quot;'), '" /><part ct="image/png" text="" data="', CASE id % 4 WHEN 0 THEN base64(encode(concat('image ', id))) WHEN 1 THEN '*' ELSE '' END, '" /><part ct="text/plain" text=" and ', id, ' " /></parts><addrs><addr address="', address, '" type="151" /><addr address="+19990000001" type="137" />', CASE WHEN id % 2 = 0 THEN '<addr address="+19990000002" type="130" />' ELSE '' END, '</addrs></mms>')"""
 
 
-@query(
-    f"""{WITH} SELECT concat('thread-', thread_id, '.xml') AS file, row_number() OVER (PARTITION BY thread_id ORDER BY id) - 1 AS ordinal, 2 AS record_type, date, type,
-concat(address, CASE WHEN id % 2 = 0 THEN ',+19990000001,+19990000002' ELSE '' END) AS address, concat(address, ',+19990000001', CASE WHEN id % 2 = 0 THEN ',+19990000002' ELSE '' END) AS addresses,
-CASE WHEN type = 1 THEN '+19990000001' ELSE '' END AS sender, trim(concat(body, '  and ', id)) AS body, CASE WHEN id % 4 = 0 THEN 'image/png' ELSE '' END AS media_type, CASE WHEN id % 4 = 0 THEN concat('image ', id) END AS media,
-CASE id % 3 WHEN 0 THEN '' ELSE concat('About ', id) END AS subject, concat('m', id) AS message_id, id % 1000 AS message_size, CAST(129 AS BIGINT) AS read_report, CAST(0 AS BIGINT) AS read_status, id % 2 AS sim_slot, sha256({_MMS}) AS content_hash
-FROM messages WHERE record_type = 2"""
-)
-def xml_import_mms(spark, sf_dir):
-    """Multimedia elements with parts and participants: group address, sender, body text and first media."""
+def _mms() -> Column:
     n = F.col("id")
     data = F.when(n % 4 == 0, F.base64(F.encode(F.concat(F.lit("image "), n.cast("string")), "UTF-8"))).when(n % 4 == 1, "*").otherwise("")
     third = F.when(n % 2 == 0, '<addr address="+19990000002" type="130" />').otherwise("")
@@ -471,12 +473,67 @@ def xml_import_mms(spark, sf_dir):
         '" read="1"><parts><part ct="application/smil" text="markup" /><part ct="text/plain" text="', F.replace("body", F.lit('"'), F.lit("&quot;")), '" /><part ct="image/png" text="" data="', data,
         '" /><part ct="text/plain" text=" and ', n, ' " /></parts><addrs><addr address="', F.col("address"), '" type="151" /><addr address="+19990000001" type="137" />', third, "</addrs></mms>",
     ]
-    raw = F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
-    rows = normalize.messages(backup.split(_backups(messages(spark, sf_dir).filter("record_type = 2").select(n, "thread_id", raw.alias("raw")))))
+    return F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+
+
+@query(
+    f"""{WITH} SELECT concat('thread-', thread_id, '.xml') AS file, row_number() OVER (PARTITION BY thread_id ORDER BY id) - 1 AS ordinal, 2 AS record_type, date, type,
+concat(address, CASE WHEN id % 2 = 0 THEN ',+19990000001,+19990000002' ELSE '' END) AS address, concat(address, ',+19990000001', CASE WHEN id % 2 = 0 THEN ',+19990000002' ELSE '' END) AS addresses,
+CASE WHEN type = 1 THEN '+19990000001' ELSE '' END AS sender, trim(concat(body, '  and ', id)) AS body, CASE WHEN id % 4 = 0 THEN 'image/png' ELSE '' END AS media_type, CASE WHEN id % 4 = 0 THEN concat('image ', id) END AS media,
+CASE id % 3 WHEN 0 THEN '' ELSE concat('About ', id) END AS subject, concat('m', id) AS message_id, id % 1000 AS message_size, CAST(129 AS BIGINT) AS read_report, CAST(0 AS BIGINT) AS read_status, id % 2 AS sim_slot, sha256({_MMS}) AS content_hash
+FROM messages WHERE record_type = 2"""
+)
+def xml_import_mms(spark, sf_dir):
+    """Multimedia elements with parts and participants: group address, sender, body text and first media."""
+    rows = normalize.messages(backup.split(_backups(messages(spark, sf_dir).filter("record_type = 2").select("id", "thread_id", _mms().alias("raw")))))
     own = ["file", "ordinal", "record_type", "date", "type", "address", "sender", "body", "media_type", "subject", "message_id", "message_size", "read_report", "read_status", "sim_slot", "content_hash"]
     return rows.select(*own, F.array_join("addresses", ",").alias("addresses"), F.decode("media_data", "UTF-8").alias("media"))
 
 
+#: Mixed backups: messages, multimedia and calls of a thread in one file, as real ones are.
+_MIXED = f"""{WITH}, e AS (SELECT *, CASE record_type WHEN 1 THEN {_SMS} WHEN 2 THEN {_MMS} ELSE {_CALL} END AS raw FROM messages),
+mixed AS (SELECT id, record_type, date, type, concat('thread_id=', thread_id) AS file, row_number() OVER w - 1 AS ordinal, sha256(raw) AS content_hash, duration,
+CAST(length({_HEAD_SQL}) + sum(length(raw) + 1) OVER w - length(raw) - 1 AS BIGINT) AS start, CAST(length({_HEAD_SQL}) + sum(length(raw) + 1) OVER w - 1 AS BIGINT) AS stop,
+CASE WHEN record_type = 2 AND id % 2 = 0 THEN concat(address, ',+19990000001,+19990000002') ELSE address END AS address,
+CASE record_type WHEN 1 THEN body WHEN 2 THEN trim(concat(body, '  and ', id)) END AS body FROM e WINDOW w AS (PARTITION BY thread_id ORDER BY id))"""
+
+
+def _written(spark: SparkSession, sf_dir: str) -> str:
+    """A folder with a mixed backup file for each thread."""
+    kind = F.col("record_type")
+    raw = F.when(kind == 1, _sms()).when(kind == 2, _mms()).otherwise(_call())
+    folder = f"{shared_folder(spark)}/backups-{uuid.uuid4().hex}"
+    texts = _backups(messages(spark, sf_dir).select("id", "thread_id", raw.alias("raw")))
+    texts.select(F.decode("content", "UTF-8").alias("value"), F.regexp_extract("path", r"\d+", 0).alias("thread_id")).write.partitionBy("thread_id").text(folder)
+    return folder
+
+
+def _thread() -> Column:
+    return F.regexp_extract("file", r"thread_id=\d+", 0)
+
+
+@query(f"{_MIXED} SELECT file, ordinal, start, stop, record_type, address, date, type, body, duration, content_hash FROM mixed")
+def xml_import_ranges(spark, sf_dir):
+    """Mixed backup files, cut at byte ranges of 16 kB that most elements know nothing of."""
+    raw = ranges.elements(ranges.pieces(spark, _written(spark, sf_dir), 16 << 10, "*.txt"))
+    rows = normalize.messages(raw).withColumn("file", _thread())
+    spans = raw.select(_thread().alias("file"), "ordinal", "start", "stop")
+    return rows.join(spans, ["file", "ordinal"]).select("file", "ordinal", "start", "stop", "record_type", "address", "date", "type", "body", "duration", "content_hash")
+
+
+@query(
+    f"""{_MIXED}, first AS (SELECT * FROM mixed QUALIFY row_number() OVER (PARTITION BY record_type, address, date, type, coalesce(body, ''), CASE WHEN record_type = 2 THEN id END, coalesce(duration, 0) ORDER BY file, ordinal) = 1)
+SELECT row_number() OVER (ORDER BY file, ordinal) AS id, record_type, address, date, type, body, duration, content_hash FROM first"""
+)
+def store_messages(spark, sf_dir):
+    """What a store holds after two imports of the same files by ranges: each record once."""
+    found = ranges.pieces(spark, _written(spark, sf_dir), 64 << 10, "*.txt")
+    s = store.Store(spark, f"{shared_folder(spark)}/store-{uuid.uuid4().hex}")
+    s.append(found)
+    s.append(found)
+    return s.messages().select("id", "record_type", "address", "date", "type", "body", "duration", "content_hash")
+
+
 # ------------------------------------------------------------ search
 
 _WORDS = "WITH d AS (SELECT conv_id * 1000 + turn AS id, regexp_extract_all(strip_accents(lower(coalesce(text, ''))), '[\\p{L}\\p{N}\\p{Co}]+') AS w FROM conversations)"

@@ -27,7 +27,7 @@ from missive.schema import RAW
 KINDS = (b"sms", b"mms", b"call")
 CHUNK = 1 << 20
 
-_NAME = re.compile(rb"[^\s/>]+")
+NAME = re.compile(rb"[^\s/><]+")
 _SURROGATE = re.compile(rb"&#(?:x0*[dD][89a-fA-F][0-9a-fA-F]{2}|0*5(?:5[3-9][0-9]{2}|529[6-9]|6[0-9]{3}|7[0-2][0-9]{2}|73[0-3][0-9]|734[0-3]));")
 
 
@@ -116,8 +116,8 @@ class Scanner:
                         yield kind.decode(), self._base + begun, self._base + end, bytes(self._held[begun:end])
                         begun = -1
                 else:
-                    match = _NAME.match(self._held, at + 1, end)
-                    if not match:
+                    match = NAME.match(self._held, at + 1, end)
+                    if not match or self._held[match.end()] == 0x3C:
                         raise Malformed("tag without name")
                     name = bytes(match[0]).rpartition(b":")[2]
                     single = self._held[end - 2] == 0x2F
@@ -164,31 +164,32 @@ def records(chunks: Iterable[bytes], name: str) -> Iterator[dict]:
 
 _PART = pa.struct([(n, pa.string()) for n in ("seq", "ct", "name", "chset", "cl", "text", "data")])
 _ADDR = pa.struct([(n, pa.string()) for n in ("address", "type", "charset")])
-_ARROW = pa.schema(
+ARROW = pa.schema(
     [("file", pa.string()), ("ordinal", pa.int64()), ("kind", pa.string()), ("start", pa.int64()), ("stop", pa.int64()), ("raw", pa.binary()), ("attrs", pa.map_(pa.string(), pa.string()))]
     + [("parts", pa.list_(_PART)), ("addrs", pa.list_(_ADDR)), ("status", pa.string())]
 )
 
 
-def _batches(rows: Iterator[dict], most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def batches(rows: Iterator[dict], most: int = 8 << 20, schema: pa.Schema = ARROW) -> Iterator[pa.RecordBatch]:
+    """Record batches of RAW rows, of about `most` bytes."""
     held, size = [], 0
     for row in rows:
         row["attrs"] = list(row["attrs"].items())
         held.append(row)
         size += 2 * len(row["raw"] or b"")
         if size >= most or len(held) >= 5000:
-            yield pa.RecordBatch.from_pylist(held, schema=_ARROW)
+            yield pa.RecordBatch.from_pylist(held, schema=schema)
             held, size = [], 0
     if held:
-        yield pa.RecordBatch.from_pylist(held, schema=_ARROW)
+        yield pa.RecordBatch.from_pylist(held, schema=schema)
 
 
-def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+def _split(contents: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in contents:
         for path, content in zip(batch.column("path"), batch.column("content"), strict=True):
             data = content.as_buffer()
             chunks = (data.slice(i, min(CHUNK, data.size - i)).to_pybytes() for i in range(0, data.size, CHUNK))
-            yield from _batches(records(chunks, path.as_py()))
+            yield from batches(records(chunks, path.as_py()))
 
 
 def files(spark: SparkSession, path: str) -> DataFrame:
@@ -258,4 +259,4 @@ class _Reader(DataSourceReader):
 
     def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
         with open(partition.value, "rb") as f:
-            yield from _batches(records(iter(lambda: f.read(CHUNK), b""), partition.value))
+            yield from batches(records(iter(lambda: f.read(CHUNK), b""), partition.value))

@@ -1,9 +1,10 @@
 """Continuous import of a drop directory, with Structured Streaming.
 
-Files are found by the file source, which remembers what it has read, and move
-to an archive when their batch is done. Files must be renamed into the directory
-when they are complete. A batch appends idempotently, so a batch that runs twice
-after a failure stores its records once.
+Files are found by the file source, which remembers what it has read, and read in
+pieces, so that their size does not matter. A batch is committed to the store once: one
+that runs again after a failure finds its own log and only moves its files. A file
+without an error moves to the archive, a failed one stays where it is. Files must be
+renamed into the directory when they are complete, or come by way of `arrivals`.
 """
 
 from __future__ import annotations
@@ -18,39 +19,36 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.listener import StreamingQueryListener
 
 from missive.operators.store import Store
+from missive.session import Files
+from missive.sources import ranges
 
-FILES = "path string, modificationTime timestamp, length long, content binary"
-LOG = "batch long, file string, status string, records long, logged_at timestamp"
 
-
-def watch(spark: SparkSession, inbox: str, files_per_batch: int = 100, archive: str | None = None) -> DataFrame:
-    """Stream of the XML files of a drop directory; done files go to the archive."""
-    reader = spark.readStream.format("binaryFile").schema(FILES).option("pathGlobFilter", "[!.]*.[xX][mM][lL]").option("maxFilesPerTrigger", files_per_batch)
-    if archive:
-        reader = reader.option("cleanSource", "archive").option("sourceArchiveDir", archive)
-    return reader.load(inbox)
+def watch(spark: SparkSession, inbox: str, files_per_batch: int = 100) -> DataFrame:
+    """Stream of the pieces of the XML files of a drop directory."""
+    own = spark.newSession()  # both passes over a batch must cut its files alike
+    own.conf.set("spark.sql.files.minPartitionNum", str(spark.sparkContext.defaultParallelism))
+    reader = own.readStream.format("text").option("lineSep", "<").option("pathGlobFilter", ranges.NAMES).option("maxFilesPerTrigger", files_per_batch)
+    return ranges.cut(reader.load(inbox))
 
 
 def start(spark: SparkSession, inbox: str, store: Store, checkpoint: str, archive: str | None = None, once: bool = False, every: str = "1 minute", after: Callable[[DataFrame, int], None] | None = None) -> StreamingQuery:
     """Import every file that arrives; `once` takes what is there and ends."""
 
-    def batch(files: DataFrame, number: int) -> None:
-        files = files.persist()
-        try:
-            if not files.isEmpty():
-                done = store.append(files)
-                done.select(F.lit(number).cast("long").alias("batch"), "file", "status", "records", F.current_timestamp().alias("logged_at")).write.mode("append").parquet(f"{store.path}/log")
-                if after:
-                    after(done, number)
-        finally:
-            files.unpersist()
-
-    writer = watch(spark, inbox, archive=archive).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
+    def batch(pieces: DataFrame, number: int) -> None:
+        done = store.append(pieces, checkpoint, number)
+        if archive:
+            for r in done.filter("status = 'completed'").select("file").collect():  # of one batch
+                Files(spark).move(r["file"], archive)
+        if after:
+            after(done, number)
+
+    writer = watch(spark, inbox).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)).start()
 
 
 def log(store: Store) -> DataFrame:
-    return store.spark.read.schema(LOG).parquet(f"{store.path}/log")
+    """(batch, file, status, records, logged_at) of the files that streams imported."""
+    return store.files().filter("number IS NOT NULL").select(F.col("number").alias("batch"), "file", "status", "records", "logged_at")
 
 
 class Jobs(StreamingQueryListener):
