@@ -47,16 +47,17 @@ class _Quota:
         return np.where(self.open, np.maximum(self.most - self.load, 0), 0)
 
 
-def _members(rows: DataFrame, links: list[str]) -> DataFrame:
-    """(node, group, first) of the rows that share a link with another; first marks one
-    membership of each row."""
+def _members(rows: DataFrame, links: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(node, group, first) of the rows that share a link with another, where first marks one
+    membership of each row; and the stored groups. Joins are with stored tables throughout,
+    so that a group's rows are dealt to several tasks where they are many."""
     each = F.array(*[F.when(F.col(c).isNotNull(), F.struct(F.lit(i).alias("link"), F.col(c).cast("string").alias("value"))) for i, c in enumerate(links)])
     asked = rows.select("node", F.explode(F.filter(each, lambda x: x.isNotNull())).alias("at")).select("node", F.md5(F.concat_ws(":", "at.link", "at.value")).alias("group"))
-    shared = asked.groupBy("group").agg(F.count("*").alias("n")).filter("n > 1").select("group")
+    shared = common.stored(asked.groupBy("group").agg(F.count("*").alias("n")).filter("n > 1").select("group"))
     found = asked.join(shared, "group", "left_semi")
     if len(links) == 1:
-        return found.withColumn("first", F.lit(True))
-    return found.withColumn("first", F.row_number().over(W.partitionBy("node").orderBy("group")) == 1)
+        return found.withColumn("first", F.lit(True)), shared
+    return found.withColumn("first", F.row_number().over(W.partitionBy("node").orderBy("group")) == 1), shared
 
 
 def _proposals(state: DataFrame, room: np.ndarray) -> DataFrame:
@@ -78,9 +79,9 @@ def _proposals(state: DataFrame, room: np.ndarray) -> DataFrame:
     return packed.select("group", "cells", F.aggregate(free, start, take).alias("targets"), F.col("n").alias("all"))
 
 
-def _wishes(state: DataFrame, room: np.ndarray, several: bool) -> DataFrame:
+def _wishes(state: DataFrame, proposals: DataFrame, several: bool) -> DataFrame:
     """state with target (null: stays) and gain, the partners more that a row has there."""
-    met = state.join(_proposals(state, room), "group")
+    met = state.join(proposals, "group")
     at = F.pmod(F.xxhash64("node"), F.least("all", F.get("targets", F.size("targets") - 1)["upto"]))  # deals a large group's rows out over its targets
     chosen = F.get(F.filter("targets", lambda t: t["upto"] > at), F.lit(0))
     here = F.get(F.filter("cells", lambda c: c["shard"] == F.col("shard")), F.lit(0))["n"] - 1
@@ -134,8 +135,9 @@ def propagate(members: DataFrame, most: np.ndarray, rounds: int, several: bool)
     for turn in range(rounds):
         if not quota.room().any():
             break
-        wished = common.stored(_wishes(state, quota.room(), several))
-        tables.append(wished)
+        proposals = common.stored(_proposals(state, quota.room()))
+        wished = common.stored(_wishes(state, proposals, several))
+        tables += [proposals, wished]
         granted, n = _grants(wished, quota, turn)
         # a row in several groups has the same wish, gain and hash in each of its memberships
         state = wished.select("node", "group", "first", F.when(granted, F.col("target")).otherwise(F.col("shard")).alias("shard"))
@@ -167,7 +169,8 @@ def shard(docs: DataFrame, links: list[str], shards: int = SHARDS, rounds: int =
     rows = common.stored(docs.select(F.monotonically_increasing_id().alias("node"), *[F.col(c).alias(k) for c, k in inner.items()]))
     total = rows.count()
     most = total // shards + (np.arange(shards) < total % shards)
-    labels, load, tables = propagate(_members(rows, [inner[c] for c in links]), most, rounds, len(links) > 1)
+    members, shared = _members(rows, [inner[c] for c in links])
+    labels, load, tables = propagate(members, most, rounds, len(links) > 1)
     placed = common.stored(numbered(rows.join(labels, "node", "left"), F.coalesce("shard", F.lit(-1)), "slot"))
     held = np.minimum(load, most)
     within = F.col("shard").isNotNull() & (F.col("slot") < F.get(_literal(most), F.col("shard")))
@@ -175,7 +178,7 @@ def shard(docs: DataFrame, links: list[str], shards: int = SHARDS, rounds: int =
     upto = np.cumsum(most - held)
     shard_ = F.size(F.filter(_literal(upto), lambda u: u <= F.col("number")))
     rest = rest.withColumn("shard", shard_).withColumn("slot", F.col("number") - F.get(_literal(upto - most), F.col("shard"))).drop("number")
-    common.dropped(rows, *tables)
+    common.dropped(rows, shared, *tables)
     return placed.filter(within).unionByName(rest).select(*[F.col(k).alias(c) for c, k in inner.items()], "shard", "slot")
 
 

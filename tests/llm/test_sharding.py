@@ -80,7 +80,7 @@ def test_rows_with_several_links(spark):
 
 def test_members_and_first_marks(spark):
     df = spark.createDataFrame([(1, "x", "p"), (2, "x", None), (3, "y", "p"), (4, None, "x")], "node long, a string, b string")
-    found = sharding._members(df, ["a", "b"]).collect()
+    found = sharding._members(df, ["a", "b"])[0].collect()
     assert sorted(r.node for r in found) == [1, 1, 2, 3] and sorted(r.node for r in found if r["first"]) == [1, 2, 3]
 
 
