@@ -50,14 +50,6 @@ def _fold(s: pd.Series) -> pd.Series:
 
 
 def fold(c: Column) -> Column:
-    """folded() on a column; Spark has no Unicode normalisation of its own."""
-    return F.pandas_udf(_fold, "string")(c)
-
-
-def _fold_each(s: pd.Series) -> pd.Series:
-    return s.map(lambda each: None if each is None else [folded(x) for x in each])
-
-
-def fold_each(c: Column) -> Column:
-    """folded() on every string of an array."""
-    return F.pandas_udf(_fold_each, "array<string>")(c)
+    """folded() on a column. Spark has no Unicode normalisation of its own, so values with
+    other characters than ASCII go through Python; for the rest nothing is sent there."""
+    return F.coalesce(F.pandas_udf(_fold, "string")(F.when(c.rlike("[^\\x00-\\x7F]"), c)), F.lower(c))

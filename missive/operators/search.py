@@ -13,10 +13,11 @@ import re
 from dataclasses import dataclass
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from missive.functions.text import fold, fold_each, folded
+from missive.functions.text import fold, folded
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 NEAR_DEFAULT = 10
@@ -218,11 +219,13 @@ def matches(index: DataFrame, tree) -> DataFrame:
     return left.union(right).distinct()
 
 
-def scores(index: DataFrame, dl: DataFrame, found: DataFrame, tree) -> DataFrame:
+def scores(index: DataFrame, dl: DataFrame | None, found: DataFrame, tree, stats: DataFrame | None = None) -> DataFrame:
     """(id, score): BM25 summed over the expression's phrases, negated, so that the
-    best is least. Every row of the table counts in the average length and number."""
+    best is least. Every row of the table counts in the average length and number,
+    which are counted unless stats(n, avgdl) has them; without dl the index has dl."""
     wanted = list(dict.fromkeys(p for p in _phrases(tree) if p.words))
-    stats = dl.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    stats = dl.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")) if stats is None else stats
+    dl = index.groupBy("id").agg(F.first("dl").alias("dl")) if dl is None else dl
     parts = []
     for i, p in enumerate(wanted):
         if len(p.words) == 1 and not p.first:
@@ -238,30 +241,123 @@ def scores(index: DataFrame, dl: DataFrame, found: DataFrame, tree) -> DataFrame
     return rows.groupBy("id").agg((-F.sum(idf * F.col("tf") * (K1 + 1) / (F.col("tf") + norm))).alias("score"))
 
 
+# ------------------------------------------------------------ snippets
+
+_TERM_HERE = re.compile("(?:[^\\W_]|[\uE000-\uF8FF\U000F0000-\U000FFFFD\U00100000-\U0010FFFD])+")
+#: What a window gains: a phrase the first time, each time after, and by where it begins: fixed values.
+NEW_PHRASE, SAME_PHRASE, AT_SENTENCE, AT_BEGINNING = 1000, 1, 100, 120
+
+
+def _tokens(text: str) -> list[tuple[int, int, str]]:
+    """(start, end, folded term) of the terms of a text, by its own characters."""
+    if text.isascii():
+        return [(m.start(), m.end(), m[0].lower()) for m in _TERM_HERE.finditer(text)]
+    low = text.lower()
+    chars = low if len(low) == len(text) else text
+    plain, source = [], []
+    for i, c in enumerate(chars):
+        for x in folded(c):
+            plain.append(x)
+            source.append(i)
+    source.append(len(text))
+    return [(source[m.start()], source[m.end()], m[0]) for m in _TERM_HERE.finditer("".join(plain))]
+
+
+def instances(terms: list[str], phrases: list[Phrase]) -> list[tuple[int, int, int]]:
+    """(place, phrase, length) of every occurrence of the phrases among terms, in order."""
+    out = []
+    for k, p in enumerate(phrases):
+        *head, last = p.words
+        for at in range(1 if p.first else len(terms) - len(head)):
+            here = terms[at + len(head)] if at + len(head) < len(terms) else None
+            if here is not None and terms[at : at + len(head)] == head and (here.startswith(last) if p.prefix else here == last):
+                out.append((at, k, len(p.words)))
+    return sorted(out)
+
+
+def best_window(n: int, found: list[tuple[int, int, int]], sentences: list[int], size: int) -> int:
+    """Where the window of `size` terms with the best score begins, the first of equals.
+
+    A window is tried at each instance, then moved so that what it holds stands in its
+    middle, and at the beginning of the instance's sentence if the text is longer."""
+    best, start = -1, 0
+    low = high = sentence = 0
+    for i, (at, _, _) in enumerate(found):
+        high = max(high, i)
+        while high < len(found) and found[high][0] < at + size:
+            high += 1
+        while found[low][0] < at:
+            low += 1
+        score = _window(found[low:high])
+        if score > best:
+            first, last = found[low][0], found[high - 1][0] + found[high - 1][2]
+            best, start = score, max(0, min(first - max(0, size - (last - first)) // 2, n - size))
+        while sentence < len(sentences) and sentences[sentence] < at:
+            sentence += 1
+        if n > size and sentence:
+            begin = sentences[sentence - 1]
+            own = [x for x in found if begin <= x[0] < begin + size]
+            score = _window(own) + (AT_SENTENCE if begin else AT_BEGINNING)
+            if score > best:
+                best, start = score, begin
+    return start
+
+
+def _window(own: list[tuple[int, int, int]]) -> int:
+    kinds = len({k for _, k, _ in own})
+    return kinds * NEW_PHRASE + (len(own) - kinds) * SAME_PHRASE
+
+
+def marked(text: str | None, phrases: list[Phrase], size: int, mark: tuple[str, str], dots: str) -> str:
+    """The best window of a text, its instances marked."""
+    tokens = _tokens(text or "")
+    found = instances([t for _, _, t in tokens], phrases)
+    n = len(tokens)
+    if not n:
+        return text or ""
+    sentences = [i for i, (at, _, _) in enumerate(tokens) if i == 0 or text[:at].rstrip(" \t\n\r")[-1:] in (".", ":")] if n > size and found else []
+    start = best_window(n, found, sentences, size)
+    stop = min(n, start + size)
+    spans: list[list[int]] = []
+    for at, _, length in found:
+        if spans and at < spans[-1][1]:  # instances that overlap are marked as one
+            spans[-1][1] = max(spans[-1][1], at + length)
+        else:
+            spans.append([at, at + length])
+    out, at = [dots if start else ""], tokens[start][0] if start else 0
+    for a, b in spans:
+        if start <= a < stop:
+            begin, end = tokens[a][0], tokens[min(b, stop) - 1][1]
+            out += [text[at:begin], mark[0], text[begin:end], mark[1]]
+            at = end
+    out += [text[at : tokens[stop - 1][1] if stop < n else len(text)], dots if stop < n else ""]
+    return "".join(out)
+
+
 def snippet(body: Column, tree, size: int = 50, mark: tuple[str, str] = ("<mark>", "</mark>"), dots: str = "...") -> Column:
-    """About `size` words around the first match, matched words marked. The window is
-    our own choice: it begins a few words before the first match."""
-    words = sorted({(w, p.prefix and i == len(p.words) - 1) for p in _phrases(tree) for i, w in enumerate(p.words)})
-    pieces = F.regexp_extract_all(body, F.lit(rf"{_TERM}|[^\p{{L}}\p{{N}}\p{{Co}}]+"), F.lit(0))
+    """The window of at most `size` words that holds the most phrases of an expression, with
+    their occurrences marked. A null body gives ''."""
+    phrases = [p for p in dict.fromkeys(_phrases(tree)) if p.words]
 
-    def hit(low: Column) -> Column:
-        return reduce(lambda a, b: a | b, [low.startswith(w) if prefix else low == w for w, prefix in words], F.lit(False))
+    def shown(bodies: pd.Series) -> pd.Series:
+        return bodies.map(lambda text: marked(text, phrases, size, mark, dots))
 
-    hits = F.transform(fold_each(pieces), hit)
-    first = F.greatest(F.array_position(hits, True).cast("int") - 1, F.lit(0))
-    start = F.greatest(first - 8, F.lit(0))
-    window = F.zip_with(F.slice(pieces, start + 1, F.lit(2 * size)), F.slice(hits, start + 1, F.lit(2 * size)), lambda x, own: F.when(own, F.concat(F.lit(mark[0]), x, F.lit(mark[1]))).otherwise(x))
-    return F.concat(F.when(start > 0, dots).otherwise(""), F.array_join(window, ""), F.when(F.size(pieces) > start + 2 * size, dots).otherwise(""))
+    return F.pandas_udf(shown, "string")(body)
 
 
-def search(documents: DataFrame, text: str, limit: int = 100, index: DataFrame | None = None, dl: DataFrame | None = None) -> DataFrame:
+def search(documents: DataFrame, text: str, limit: int = 100, index=None, dl: DataFrame | None = None) -> DataFrame:
     """Rows of documents(id, address, contact_name, body, date) that match, best first.
-    An empty expression gives no rows; one that does not parse is a QueryError."""
+    An empty expression gives no rows; one that does not parse is a QueryError. index is
+    a kept one (`postings.Index`), or postings with their lengths dl; without it the
+    postings of all rows are made first."""
     tree = parse(text) if text else None
     shape = documents.select("id", "address", F.coalesce("contact_name", F.lit("")).alias("contact_name"), "body", "date")
     if tree is None:
         return shape.withColumns({"snippet": F.lit(""), "score": F.lit(0.0)}).limit(0)
-    index = postings(documents) if index is None else index
-    dl = lengths(documents) if dl is None else dl
-    ranked = scores(index, dl, matches(index, tree), tree).orderBy("score", "id").limit(limit)
+    if hasattr(index, "top"):
+        ranked = index.top(tree, limit)
+    else:
+        index = postings(documents) if index is None else index
+        dl = lengths(documents) if dl is None else dl
+        ranked = scores(index, dl, matches(index, tree), tree).orderBy("score", "id").limit(limit)
     return shape.join(ranked, "id").withColumn("snippet", snippet(F.col("body"), tree)).orderBy("score", "id")

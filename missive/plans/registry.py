@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from missive.functions import labels, mime, phone, text, vcard
-from missive.operators import analytics, control, custody, export, normalize, reads, search, store
+from missive.operators import analytics, control, custody, export, normalize, postings, reads, search, store
 from missive.session import shared_folder
 from missive.sources import backup, ranges
 from missive.sources.events import DAYS_SQL, MESSAGES_SQL, messages
@@ -536,11 +536,11 @@ def store_messages(spark, sf_dir):
 
 # ------------------------------------------------------------ search
 
-_WORDS = "WITH d AS (SELECT conv_id * 1000 + turn AS id, regexp_extract_all(strip_accents(lower(coalesce(text, ''))), '[\\p{L}\\p{N}\\p{Co}]+') AS w FROM conversations)"
+_WORDS = "WITH d AS (SELECT conv_id * 1000000 + turn AS id, regexp_extract_all(strip_accents(lower(coalesce(text, ''))), '[\\p{L}\\p{N}\\p{Co}]+') AS w FROM conversations)"
 
 
 def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("role").alias("address"), F.lit("").alias("contact_name"), F.col("text").alias("body"), F.col("turn").alias("date"))
+    return _table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1_000_000 + F.col("turn")).alias("id"), F.col("role").alias("address"), F.lit("").alias("contact_name"), F.col("text").alias("body"), F.col("turn").alias("date"))
 
 
 def _found(spark: SparkSession, sf_dir: str, expression: str) -> DataFrame:
@@ -601,10 +601,56 @@ def search_bm25(spark, sf_dir):
     return search.scores(index, search.lengths(rows), search.matches(index, tree), tree).select("id", F.round("score", 6).alias("score"))
 
 
-@query()
+_TOKEN = "[\\p{L}\\p{N}\\p{Co}]"
+#: Windows of 50 terms for the phrases `with` and `of the`: their scores at each instance and at its sentence, the best one, its text.
+_SNIPPETS = f"""{_WORDS}, t AS (SELECT conv_id * 1000000 + turn AS id, role, text FROM conversations), l AS (SELECT id, regexp_extract_all(text, '{_TOKEN}+|[^\\p{{L}}\\p{{N}}\\p{{Co}}]+') AS l FROM t),
+p AS (SELECT id, k, l[k] AS piece, regexp_matches(l[k], '^{_TOKEN}') AS tok FROM l, unnest(range(1, len(l) + 1)) AS r(k)),
+q AS (SELECT *, sum(CASE WHEN tok THEN 1 ELSE 0 END) OVER (PARTITION BY id ORDER BY k) - 1 AS pos, lag(piece) OVER (PARTITION BY id ORDER BY k) AS before FROM p),
+i AS (SELECT id, i - 1 AS pos, 0 AS ph, 1 AS len FROM d, unnest(range(1, len(w) + 1)) AS r(i) WHERE w[i] = 'with' UNION ALL SELECT id, i - 1, 1, 2 FROM d, unnest(range(1, len(w))) AS r(i) WHERE w[i] = 'of' AND w[i + 1] = 'the'),
+f AS (SELECT id, pos FROM q WHERE tok AND (pos = 0 OR regexp_matches(before, '[.:][ \\t\\n\\r]*$'))),
+c AS (SELECT id, pos, ph, 0 AS kind, pos AS s FROM i UNION ALL SELECT i.id, i.pos, i.ph, 1, max(f.pos) FROM i JOIN f ON i.id = f.id AND f.pos < i.pos JOIN d ON d.id = i.id WHERE len(w) > 50 GROUP BY ALL),
+v AS (SELECT c.id, c.pos, c.ph, c.kind, c.s, 1000 * count(DISTINCT b.ph) + count(b.ph) - count(DISTINCT b.ph) + CASE WHEN c.kind = 0 THEN 0 WHEN c.s = 0 THEN 120 ELSE 100 END AS score, min(b.pos) AS f, arg_max(b.pos + b.len, b.pos * 2 + b.ph) AS e
+FROM c LEFT JOIN i b ON b.id = c.id AND b.pos >= c.s AND b.pos < c.s + 50 GROUP BY c.id, c.pos, c.ph, c.kind, c.s),
+u AS (SELECT v.id, len(w) AS n, CASE WHEN kind = 1 THEN s ELSE greatest(0, least(f - greatest(0, 50 - (e - f)) // 2, len(w) - 50)) END AS s FROM v JOIN d ON d.id = v.id QUALIFY row_number() OVER (PARTITION BY v.id ORDER BY score DESC, pos, ph, kind) = 1),
+m AS (SELECT id, pos, pos + len - 1 AS last FROM i),
+o AS (SELECT u.id, u.s, u.n, q.k, concat(CASE WHEN a.id IS NULL THEN '' ELSE '<mark>' END, piece, CASE WHEN b.id IS NULL THEN '' ELSE '</mark>' END) AS piece FROM u JOIN q ON q.id = u.id AND q.pos < s + 50 AND (q.pos >= s OR s = 0) AND (tok OR q.pos < s + 49 OR s + 50 >= n)
+LEFT JOIN m a ON tok AND a.id = q.id AND a.pos = q.pos LEFT JOIN m b ON tok AND b.id = q.id AND b.pos >= s AND b.pos <= q.pos AND (b.last = q.pos OR b.last > q.pos AND q.pos = s + 49)),
+snippets AS (SELECT id, concat(CASE WHEN s > 0 THEN '...' ELSE '' END, string_agg(piece, '' ORDER BY k), CASE WHEN s + 50 < n THEN '...' ELSE '' END) AS snippet FROM o GROUP BY id, s, n)"""
+
+
+@query(f"{_SNIPPETS} SELECT id, snippet FROM snippets")
+def search_snippets(spark, sf_dir):
+    """The best window of every turn that matches."""
+    rows, tree = _turns(spark, sf_dir), search.parse('with OR "of the"')
+    found = search.matches(search.postings(rows), tree)
+    return rows.join(found, "id", "left_semi").select("id", search.snippet(F.col("body"), tree).alias("snippet"))
+
+
+def _kept(spark: SparkSession, sf_dir: str) -> postings.Index:
+    """An index that was appended to twice, and lost and regained some rows between."""
+    rows = _turns(spark, sf_dir)
+    index = postings.Index(spark, f"{shared_folder(spark)}/index-{uuid.uuid4().hex}", span=8_000_000, block=16)
+    index.append(rows.filter("date % 2 = 0"))
+    index.delete(rows.filter("date = 2"))
+    index.append(rows.filter("date % 2 = 1 OR date = 2"))
+    return index
+
+
+_BM25 = """s AS (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM d), g AS (SELECT ph, count(*) AS df FROM x GROUP BY ph),
+best AS (SELECT id, round(-sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(w) / avgdl))), 6) AS score FROM x JOIN g USING (ph) JOIN d USING (id), s GROUP BY id ORDER BY score, id LIMIT 100)"""
+
+
+@query(f"{_SNIPPETS}, x AS (SELECT id, ph, count(*) AS tf FROM i GROUP BY ALL), {_BM25} SELECT id, role AS address, '' AS contact_name, text AS body, id % 1000000 AS date, snippet, score FROM best JOIN t USING (id) JOIN snippets USING (id)")
 def search_results(spark, sf_dir):
-    """Ranked rows with snippets."""
-    return search.search(_turns(spark, sf_dir), 'with OR "of the"', limit=100)
+    """Ranked rows with snippets, from a kept index."""
+    found = search.search(_turns(spark, sf_dir), 'with OR "of the"', limit=100, index=_kept(spark, sf_dir))
+    return found.withColumn("score", F.round("score", 6))
+
+
+@query(f"{_WORDS}, x AS (SELECT id, w[i] AS ph, count(*) AS tf FROM d, unnest(range(1, len(w) + 1)) AS r(i) WHERE w[i] IN ('with', 'from', 'river') GROUP BY ALL), {_BM25.replace('LIMIT 100', 'LIMIT 20')} SELECT id, score FROM best")
+def search_top(spark, sf_dir):
+    """The best 20 rows by block maxima."""
+    return _kept(spark, sf_dir).top(search.parse("with OR from OR river"), 20).withColumn("score", F.round("score", 6))
 
 
 # ------------------------------------------------------------ export, control, cards

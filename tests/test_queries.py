@@ -51,15 +51,15 @@ def test_search_takes_every_turn(spark, tmp_path):
         "search_near": lambda w, j: near(w),
     }
     for name, test in want.items():
-        ids = {1000 + n for n, (w, j) in enumerate(zip(words, joined, strict=True)) if test(w, j)}
+        ids = {1_000_000 + n for n, (w, j) in enumerate(zip(words, joined, strict=True)) if test(w, j)}
         assert {r.id for r in QUERIES[name](spark, str(tmp_path)).collect()} == ids, name
     n, df, average = len(words), sum("with" in w for w in words), sum(map(len, words)) / len(words)
     idf = max(math.log((n - df + 0.5) / (df + 0.5)), 1e-6)
-    scores = {1000 + i: round(-idf * w.count("with") * 2.2 / (w.count("with") + 1.2 * (0.25 + 0.75 * len(w) / average)), 6) for i, w in enumerate(words) if "with" in w}
+    scores = {1_000_000 + i: round(-idf * w.count("with") * 2.2 / (w.count("with") + 1.2 * (0.25 + 0.75 * len(w) / average)), 6) for i, w in enumerate(words) if "with" in w}
     assert {r.id: r.score for r in QUERIES["search_bm25"](spark, str(tmp_path)).collect()} == pytest.approx(scores, abs=2e-6)
     results = {r.id: r.snippet for r in QUERIES["search_results"](spark, str(tmp_path)).collect()}
-    assert set(results) == {1000 + i for i, (w, j) in enumerate(zip(words, joined, strict=True)) if "with" in w or " of the " in j}
-    assert "<mark>wîth</mark>" in results[1000]
+    assert set(results) == {1_000_000 + i for i, (w, j) in enumerate(zip(words, joined, strict=True)) if "with" in w or " of the " in j}
+    assert "<mark>wîth</mark>" in results[1_000_000]
 
 
 def test_entry(spark):
