@@ -72,7 +72,52 @@ def pie_slices(totals: DataFrame) -> DataFrame:
     return totals.select(F.inline(rows)).filter("value > 0")
 
 
+#: Which of (address, hour, day) a row of `figures` sums over, as grouping_id() tells it.
+_TOTAL, _ADDRESS, _HOUR, _DAY = 0b111, 0b011, 0b101, 0b110
+_TOTALS = ["total_messages", "total_sms", "total_mms", "total_calls", "total_sent", "total_received", "incoming_calls", "outgoing_calls", "missed_calls", "total_call_duration"]
+
+
+def figures(rows: DataFrame, tz_offset: int = 0, zone: str = "UTC") -> DataFrame:
+    """Totals, and the same by address, by shifted hour and by day, in one aggregation over
+    grouping sets. Bodies give their lengths before rows are multiplied, and each task sums
+    up its own groups before anything is shuffled."""
+    hour = F.pmod(F.floor((F.col("date") + tz_offset * 60) / 3600), F.lit(24)).cast("int")
+    day = F.date_format(F.from_utc_timestamp(F.timestamp_seconds("date"), zone), "yyyy-MM-dd")
+    narrow = rows.select("record_type", "type", "duration", "address", F.coalesce("contact_name", F.lit("")).alias("contact_name"), F.when(F.col("body") != "", F.length("body")).alias("chars"), hour.alias("hour"), day.alias("day"))
+    by = [F.col(c) for c in ("address", "hour", "day")]
+    kind, type_ = F.col("record_type"), F.col("type")
+    return narrow.groupingSets([[], *[[c] for c in by]], *by).agg(
+        F.grouping_id().alias("over"),
+        F.count("*").alias("total_messages"),
+        _count(kind == 1, "total_sms"),
+        _count(kind == 2, "total_mms"),
+        _count(kind == 3, "total_calls"),
+        _count(is_message() & (type_ == 2), "total_sent"),
+        _count(is_message() & (type_ == 1), "total_received"),
+        _count(is_call() & (type_ == 1), "incoming_calls"),
+        _count(is_call() & (type_ == 2), "outgoing_calls"),
+        _count(is_call() & (type_ == 3), "missed_calls"),
+        F.coalesce(F.sum(F.when(is_call(), F.col("duration"))), F.lit(0)).cast("bigint").alias("total_call_duration"),
+        F.coalesce(F.avg(F.when(is_message(), F.col("chars"))), F.lit(0.0)).alias("avg_message_length"),
+        F.max(F.when(is_message(), F.col("contact_name"))).alias("contact_name"),
+        _count(is_message(), "message_count"),
+    )
+
+
 def analytics(messages: DataFrame, start: int | None = None, end: int | None = None, top: int = TOP_DEFAULT, tz_offset: int = 0, zone: str = "UTC") -> dict[str, DataFrame]:
-    """All figures under one date filter."""
-    rows = between(messages, start, end)
-    return {"summary": summary(rows), "top_contacts": top_contacts(rows, top), "hourly": hourly(rows, tz_offset), "daily": daily(rows, zone)}
+    """All figures under one date filter, from one scan: the sums, a row for each address,
+    hour and day, are held as `figures`, for the caller to unpersist."""
+    held = figures(between(messages, start, end), tz_offset, zone).persist()
+    spark, talks = messages.sparkSession, held.filter("message_count > 0")
+    none = spark.range(1).select(F.lit(_TOTAL).cast("bigint").alias("over"))  # an empty table has no groups, but totals
+    whole = none.join(held.filter(F.col("over") == _TOTAL), "over", "left")
+    hours = talks.filter(F.col("over") == _HOUR).select("hour", F.col("message_count").alias("count"))
+    every = spark.range(24).select(F.col("id").cast("int").alias("hour"))
+    contacts = talks.filter(F.col("over") == _ADDRESS).select("address", "contact_name", "message_count", F.col("total_sent").alias("sent_count"), F.col("total_received").alias("received_count"))
+    return {
+        "summary": whole.select(*[F.coalesce(c, F.lit(0).cast("bigint")).alias(c) for c in _TOTALS], F.coalesce("avg_message_length", F.lit(0.0)).alias("avg_message_length")),
+        "top_contacts": contacts.orderBy(F.desc("message_count"), "address").limit(top),
+        "hourly": every.join(F.broadcast(hours), "hour", "left").select("hour", F.coalesce("count", F.lit(0).cast("bigint")).alias("count")).orderBy("hour"),
+        "daily": talks.filter(F.col("over") == _DAY).select("day", F.col("message_count").alias("count")).orderBy("day"),
+        "figures": held,
+    }

@@ -1,5 +1,7 @@
 """Scalar semantics, parameters, search expressions, cards and the stream."""
 
+import shutil
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -97,6 +99,23 @@ def test_empty_table(spark):
     assert reads.activity(empty).count() == 0
 
 
+def test_all_figures_from_one_scan(spark, tmp_path):
+    """The bundle is what its parts are one by one, and reads its table once."""
+    rows = [(i, i % 3 + 1, f"+1{i % 4}" if i % 9 else None, None if i % 5 == 0 else f"c{i}", "", "x" * (i % 7) if i % 3 < 2 else None, i % 6 + 1, 1_700_000_000 + 5000 * i, i if i % 3 == 2 else None, "") for i in range(200)]
+    columns = "id long, record_type int, address string, contact_name string, subject string, body string, type long, date long, duration long, media_type string"
+    spark.createDataFrame(rows, columns).write.parquet(str(tmp_path / "m"))
+    messages = spark.read.parquet(str(tmp_path / "m"))
+    window = (1_700_050_000, 1_700_800_000)
+    got = analytics.analytics(messages, *window, top=3, tz_offset=-330, zone="Asia/Tokyo")
+    own = reads.between(messages, *window)
+    want = {"summary": analytics.summary(own), "top_contacts": analytics.top_contacts(own, 3), "hourly": analytics.hourly(own, -330), "daily": analytics.daily(own, "Asia/Tokyo")}
+    want = {name: (df.columns, df.collect()) for name, df in want.items()}
+    for name, (names, rows) in want.items():
+        assert (got[name].columns, got[name].collect()) == (names, rows), name
+        shutil.rmtree(tmp_path / "m", ignore_errors=True)  # the first has read all there is
+    got["figures"].unpersist()
+
+
 def test_stream(spark, tmp_path):
     inbox = tmp_path / "in"
     inbox.mkdir()
