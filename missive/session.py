@@ -53,6 +53,10 @@ class Files:
         fs, path = self._at(folder)
         return [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
 
+    def exists(self, path: str) -> bool:
+        fs, at = self._at(path)
+        return fs.exists(at)
+
     def read(self, path: str) -> str:
         fs, at = self._at(path)
         stream = fs.open(at)

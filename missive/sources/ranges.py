@@ -48,8 +48,8 @@ _TAGS = ("open", "want", "shut", "else", "void")
 STATES = ["text", *_CLOSED_BY, *[tag + quote for tag in _TAGS for quote in ("", '"', "'")]]
 
 
-def pieces(spark: SparkSession, path: str, range_bytes: int | None = None, names: str = NAMES) -> DataFrame:
-    """PIECES of the files under a path whose names fit a pattern. Both passes must cut a file alike, so the
+def pieces(spark: SparkSession, path: str | list[str], range_bytes: int | None = None, names: str = NAMES) -> DataFrame:
+    """PIECES of files, or of those under a path, whose names fit a pattern. Both passes must cut a file alike, so the
     number of tasks that the cuts depend on is fixed in a session of its own."""
     own = spark.newSession()
     own.conf.set("spark.sql.files.minPartitionNum", str(spark.sparkContext.defaultParallelism))
