@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from missive.functions import labels, mime, phone, text, vcard
 from missive.operators import analytics, control, custody, export, normalize, postings, reads, search, store
+from missive.operators.timeline import Timeline
 from missive.session import shared_folder
 from missive.sources import backup, ranges
 from missive.sources.events import DAYS_SQL, MESSAGES_SQL, messages
@@ -534,6 +535,14 @@ def store_messages(spark, sf_dir):
     return s.messages().select("id", "record_type", "address", "date", "type", "body", "duration", "content_hash")
 
 
+@query(f"{WITH} SELECT id, date, address FROM messages ORDER BY date, id LIMIT 50 OFFSET 700")
+def activity_deep_page(spark, sf_dir):
+    """A page far down a table in time order: the files of the page are read."""
+    line = Timeline(spark, f"{shared_folder(spark)}/timeline-{uuid.uuid4().hex}")
+    line.write(messages(spark, sf_dir).select("id", "date", "address"), 2000)
+    return line.page(50, 700)
+
+
 # ------------------------------------------------------------ search
 
 _WORDS = "WITH d AS (SELECT conv_id * 1000000 + turn AS id, regexp_extract_all(strip_accents(lower(coalesce(text, ''))), '[\\p{L}\\p{N}\\p{Co}]+') AS w FROM conversations)"
