@@ -24,6 +24,9 @@ from missive.session import Files
 from missive.sources import backup, ranges
 
 BUCKETS = 64
+#: Media are cut into chunks, so that a range of bytes is read from its own.
+CHUNKS = "content_hash string, media_type string, size long, n int, data binary"
+CHUNK = 1 << 18
 FILES = "file string, status string, records long, source string, number long, logged_at timestamp"
 
 
@@ -60,15 +63,15 @@ def unseen(records: DataFrame, stored: DataFrame, key: str = "key_hash") -> Data
 
 
 _MESSAGES = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema.MESSAGES) + ", key_hash string, bucket int"
-_TABLES = {name: f"{ddl}, batch string" for name, ddl in {"messages": _MESSAGES, "media": f"{schema.MEDIA}, bucket int", "imports": schema.IMPORTS, "files": FILES}.items()}
+_TABLES = {name: f"{ddl}, batch string" for name, ddl in {"messages": _MESSAGES, "media": f"{CHUNKS}, bucket int", "imports": schema.IMPORTS, "files": FILES}.items()}
 
 
 class Store:
     """A folder with messages, media, imports and a log of files, of one tenant. Of
     several writers at once the first to commit wins; the others get a Conflict."""
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path, self.files_ = spark, path.rstrip("/"), Files(spark)
+    def __init__(self, spark: SparkSession, path: str, chunk: int = CHUNK):
+        self.spark, self.path, self.chunk, self.files_ = spark, path.rstrip("/"), chunk, Files(spark)
 
     # -------------------------------------------------------- state
 
@@ -94,15 +97,28 @@ class Store:
     def _write(self, rows: DataFrame, name: str, batch: str) -> None:
         writer = rows.write
         if "bucket" in rows.columns:
-            writer = rows.repartition("bucket").write.partitionBy("bucket")
+            order = ["content_hash", "n"] if name == "media" else ["key_hash"]
+            writer = rows.repartition("bucket").sortWithinPartitions("bucket", *order).write.partitionBy("bucket")
         writer.parquet(f"{self.path}/data/{name}/batch={batch}")
 
     def messages(self) -> DataFrame:
         return self._read("messages").drop("key_hash", "bucket")
 
-    def media(self) -> DataFrame:
+    def chunks(self) -> DataFrame:
         return self._read("media").drop("bucket")
 
+    def media(self) -> DataFrame:
+        """Whole blobs (schema.MEDIA)."""
+        return _joined(self.chunks())
+
+    def media_range(self, first: int, last: int, content_hash: str | None = None) -> DataFrame:
+        """Bytes first to last, both inside, of one blob or of each that has the first of them,
+        from the chunks that hold them and from no others."""
+        own = self._read("media").filter(F.col("n").between(first // self.chunk, last // self.chunk) & (F.col("size") > first))
+        if content_hash is not None:
+            own = own.filter((F.col("bucket") == int(content_hash[:4], 16) % BUCKETS) & (F.col("content_hash") == content_hash))
+        return _joined(own).withColumn("media_data", F.substring("media_data", first % self.chunk + 1, last - first + 1))
+
     def imports(self) -> DataFrame:
         return self._read("imports")
 
@@ -155,7 +171,7 @@ class Store:
         columns = [f.name for f in schema.MESSAGES]
         self._write(numbered.select(*columns, "key_hash", "bucket"), "messages", batch)
         media = rows.filter("media_data IS NOT NULL").select("content_hash", "media_type", "media_data").dropDuplicates(["content_hash"]).withColumn("bucket", bucket(F.col("content_hash")))
-        self._write(unseen(media, self._own("media", before, media.select("bucket")), "content_hash"), "media", batch)
+        self._write(_cut(unseen(media, self._own("media", before, media.select("bucket")), "content_hash"), self.chunk), "media", batch)
         status = raw.groupBy("file").agg(F.when(F.count_if(F.col("kind") == "error") > 0, "error").otherwise("completed").alias("status"))
         status = hashes.select("file").join(status, "file", "left").select("file", F.coalesce("status", F.lit("completed")).alias("status"))
         done = custody.import_rows(rows, hashes).join(status.filter("status = 'completed'"), "file", "left_semi")
@@ -195,6 +211,19 @@ class Store:
         return sorted(gone)
 
 
+def _cut(media: DataFrame, chunk: int) -> DataFrame:
+    size = F.octet_length("media_data")
+    last = F.greatest(F.floor((size - 1) / chunk), F.lit(0)).cast("int")
+    each = media.select("content_hash", "media_type", "media_data", "bucket", size.cast("long").alias("size"), F.explode(F.sequence(F.lit(0), last)).alias("n"))
+    return each.select("content_hash", "media_type", "size", "n", F.substring("media_data", F.col("n") * chunk + 1, F.lit(chunk)).alias("data"), "bucket")
+
+
+def _joined(chunks: DataFrame) -> DataFrame:
+    parts = chunks.groupBy("content_hash").agg(F.first("media_type").alias("media_type"), F.array_sort(F.collect_list(F.struct("n", "data"))).alias("parts"))
+    whole = F.aggregate("parts", F.lit(b"").cast("binary"), lambda done, p: F.concat(done, p["data"]))
+    return parts.select("content_hash", "media_type", whole.alias("media_data"))
+
+
 def _numbered(rows: DataFrame, order: list[str], after: int) -> tuple[DataFrame, DataFrame, int]:
     """Rows with consecutive ids in an order, without bringing them into one task; the
     held table that they are read from, for the caller to let go; and their number."""

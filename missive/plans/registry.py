@@ -535,6 +535,14 @@ def store_messages(spark, sf_dir):
     return s.messages().select("id", "record_type", "address", "date", "type", "body", "duration", "content_hash")
 
 
+@query(f"{_MIXED} SELECT content_hash, substr(concat('image ', id), 4, 6) AS part FROM mixed WHERE record_type = 2 AND id % 4 = 0")
+def media_chunks(spark, sf_dir):
+    """Bytes 3 to 8 of every medium of a store that keeps them in chunks of four bytes."""
+    s = store.Store(spark, f"{shared_folder(spark)}/store-{uuid.uuid4().hex}", chunk=4)
+    s.append(ranges.pieces(spark, _written(spark, sf_dir), 64 << 10, "*.txt"))
+    return s.media_range(3, 8).select("content_hash", F.decode("media_data", "UTF-8").alias("part"))
+
+
 @query(f"{WITH} SELECT id, date, address FROM messages ORDER BY date, id LIMIT 50 OFFSET 700")
 def activity_deep_page(spark, sf_dir):
     """A page far down a table in time order: the files of the page are read."""

@@ -3,6 +3,7 @@
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from missive.operators import store
 from missive.sources import ranges
@@ -120,3 +121,22 @@ def test_stream_moves_files_by_their_outcome(spark, tmp_path):
     run()
     assert sorted(os.listdir(home)) == ["bad.xml", "good.xml"]  # the source knows a file by its path
     assert {r.status for r in ingest.log(s).collect()} == {"completed", "error"} and s.messages().filter("body = 'x'").count() == 1
+
+
+def test_byte_ranges_read_their_own_chunks(spark, tmp_path):
+    import base64
+    import hashlib
+
+    blobs = [bytes(range(n)) * 3 for n in (1, 5, 40, 200)] + [b"x"]
+    each = [f'<mms date="{i}000" m_id="m{i}" address="771"><parts><part ct="image/png" data="{base64.b64encode(b).decode()}"/></parts></mms>' for i, b in enumerate(blobs)]
+    s = store.Store(spark, str(tmp_path / "s"), chunk=16)
+    s.append(contents(spark, a=f"<smses>{''.join(each)}</smses>".encode()))
+    keys = [hashlib.sha256(e.encode()).hexdigest() for e in each]
+    assert {r.content_hash: bytes(r.media_data) for r in s.media().collect()} == dict(zip(keys, blobs, strict=True))
+    for first, last in ((0, 0), (3, 20), (15, 16), (16, 31), (100, 599), (590, 2000)):
+        assert {r.content_hash: bytes(r.media_data) for r in s.media_range(first, last).collect()} == {k: b[first : last + 1] for k, b in zip(keys, blobs, strict=True) if len(b) > first}
+    one = s.media_range(100, 130, keys[3])
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert bytes(one.collect()[0].media_data) == blobs[3][100:131]
+    assert "GreaterThanOrEqual(n,6)" in plan.split("PushedFilters")[1]
+    assert s.chunks().filter(F.col("content_hash") == keys[3]).count() == 38
