@@ -6,7 +6,10 @@ keyword takes along REACH words on either side and meets only the rules gated by
 that keyword. A rule is a regular expression over words with its keyword marked,
 so each occurrence gives one detection of a rule at most. Detections that lie
 within a detection of higher priority (or of the same priority and greater
-length, or the same place and an earlier rule) are suppressed.
+length, or the same place and an earlier rule) are suppressed: in the order of
+their beginnings, longest first, a detection falls if one before it, of its own
+priority or a higher one, ends no earlier. So a running maximum of ends for each
+priority decides, in one sorted pass over a text's detections.
 """
 
 from __future__ import annotations
@@ -15,6 +18,7 @@ import re
 import string
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import common
@@ -187,6 +191,19 @@ def _gate(low: Column) -> Column:
     return found | (low.contains("cc") & low.rlike(r"(?:^|[\x00-\x2F\x3A-\x60\x7B-\x7F])cc[\x00-\x2F\x3A-\x60\x7B-\x7F]+by"))
 
 
+DETECTION = ["label", "rule", "priority", "first", "past"]
+
+
+def outermost(found: DataFrame) -> DataFrame:
+    """Rows of found(row, first, past, priority, rule, ...) that no other of the same `row`
+    suppresses; those without a rule stay. A text's rows are sorted once and read once."""
+    before = W.partitionBy("row").orderBy("first", F.desc("past"), F.desc("priority"), "rule").rowsBetween(W.unboundedPreceding, -1)
+    levels = sorted({priority for *_, priority, _ in rules()})
+    ends = [F.max(F.when(F.col("priority") >= level, F.col("past"))).over(before).alias(f"end{level}") for level in levels]
+    own = F.coalesce(*[F.when(F.col("priority") == level, F.col(f"end{level}")) for level in levels])
+    return found.select("*", *ends).filter(F.col("rule").isNull() | own.isNull() | (own < F.col("past"))).select(*found.columns)
+
+
 def scan(docs: DataFrame) -> DataFrame:
     """One row for each row of docs(doc_id, text): n_words, n_base, first_word,
     last_word, base_labels, labels, score and detections (label, rule, priority,
@@ -208,24 +225,21 @@ def scan(docs: DataFrame) -> DataFrame:
     listed = ", ".join(f"'{k}'" for k in keywords)
     marked = F.expr(f"filter(transform(words, (w, i) -> IF(w IN ({listed}), i, NULL)), p -> p IS NOT NULL)")
     rows = rows.select("row", "doc_id", "n_words", every.alias("base"), named.alias("base_labels"), "words", marked.alias("marked"))
-    near = rows.select("row", "doc_id", "n_words", "base", "base_labels", "words", F.explode_outer("marked").alias("at"))
+    # one row for the document itself, which takes its base places along, and one for each keyword
+    about = F.struct("doc_id", "n_words", "base", "base_labels")
+    every_place = F.concat(F.array(F.lit(None).cast("int")), F.coalesce("marked", F.array().cast("array<int>")))
+    near = rows.select("row", about.alias("about"), "words", F.explode(every_place).alias("at"))
     start = F.greatest(F.col("at") - REACH, F.lit(0))
     window = F.concat_ws(" ", F.slice("words", start + 1, F.col("at") - start), F.concat(F.lit(MARK), F.get("words", F.col("at"))), F.slice("words", F.col("at") + 2, F.lit(REACH)))
-    near = near.select("row", "doc_id", "n_words", "base", "base_labels", F.get("words", F.col("at")).alias("keyword"), start.alias("from"), F.when(F.col("at").isNotNull(), window).alias("window"))
+    alone = F.col("at").isNull()
+    near = near.select("row", F.when(alone, F.col("about")).alias("about"), F.get("words", F.col("at")).alias("keyword"), start.alias("from"), F.when(~alone, window).alias("window"))
     met = near.join(table, "keyword", "left").withColumn("place", F.regexp_instr("window", F.col("expression")))
     match = F.regexp_substr("window", F.col("expression"))
     spaces = lambda c: F.length(c) - F.length(F.replace(c, F.lit(" "), F.lit("")))
     first = F.col("from") + spaces(F.col("window").substr(F.lit(1), F.col("place") - 1))
-    detection = F.struct(F.col("label"), F.col("rule"), F.col("priority"), first.alias("first"), (first + spaces(match) + 1).alias("past"))
-    met = met.select("row", "doc_id", "n_words", "base", "base_labels", F.when(F.col("place") > 0, detection).alias("found"))
-    found = met.groupBy("row").agg(*[F.first(c).alias(c) for c in ("doc_id", "n_words", "base", "base_labels")], F.collect_list("found").alias("found"))
-    kept = F.expr(
-        """filter(found, d -> NOT exists(found, e -> e.first <= d.first AND e.past >= d.past AND (
-             e.priority > d.priority
-             OR e.priority = d.priority AND e.past - e.first > d.past - d.first
-             OR e.priority = d.priority AND e.past - e.first = d.past - d.first AND e.rule < d.rule)))"""
-    )
-    found = found.withColumn("detections", kept)
+    met = met.filter("place > 0 OR about IS NOT NULL").select("row", "about", "label", "rule", "priority", first.alias("first"), (first + spaces(match) + 1).alias("past"))
+    found = outermost(met).groupBy("row").agg(F.first("about", ignorenulls=True).alias("about"), F.collect_list(F.when(F.col("rule").isNotNull(), F.struct(*DETECTION))).alias("detections"))
+    found = found.select("about.*", "detections")
     labels = F.array_sort(F.array_distinct(F.concat("base_labels", F.transform("detections", lambda d: d["label"]))))
     best = F.greatest(F.coalesce(F.array_max(F.transform("detections", lambda d: d["priority"])), F.lit(0)), F.when(F.size("base") > 0, 50).otherwise(0))
     return found.select(

@@ -4,6 +4,7 @@ and the edge cases that every operator defines."""
 import collections
 import hashlib
 import math
+import random
 import re
 import time
 import zlib
@@ -353,6 +354,18 @@ def test_ridge_regression_by_brute_force(monkeypatch):
 # ------------------------------------------------------------ 7
 
 
+def test_minhash_of_ids_with_several_texts(spark):
+    """An id links the groups of all its texts, one after another."""
+    t, u, v, w = ("".join(f"{c}{i} " for i in range(40)) for c in "tuvw")
+    rows = [(5, t), (9, t), (9, u), (12, u), (12, v), (20, v), (30, w), (31, w), (33, None), (33, w), (40, "alone")]
+    for order in (rows, rows[::-1]):
+        got = minhash.near_duplicates(spark.createDataFrame(order, "doc_id long, text string")).collect()
+        assert len(got) == len(rows)
+        told = {(r.doc_id, r.component_id) for r in got if r.n_shingles}
+        assert told == {(5, 5), (9, 5), (12, 5), (20, 5), (30, 30), (31, 30), (33, 30), (40, 40)}
+        assert all(r.kept == (r.doc_id == r.component_id) for r in got)
+
+
 def test_license_base_places(spark):
     got = {r.doc_id: r for r in licenses.scan(documents(spark, SF01)).collect()}
     for r in documents(spark, SF01).collect():
@@ -374,6 +387,37 @@ def licensed(spark):
     return licenses.scan(frame(spark, *texts)).orderBy("doc_id").collect()
 
 
+def test_suppression_against_every_pair(spark):
+    """All pairs of detections, over the text's whole list, on random places and priorities."""
+    rng = random.Random(7)
+    levels = sorted({p for *_, p, _ in licenses.rules()})
+    rows = []
+    for row in range(40):
+        for rule in range(rng.randint(0, 60)):
+            first = rng.randint(0, 25)
+            rows.append((row, rule, rng.choice(levels), first, first + rng.randint(1, 8)))
+        rows.append((row, None, None, None, None))
+    found = spark.createDataFrame(rows, "row long, rule int, priority int, first int, past int")
+
+    def falls(d, e):
+        if d[0] != e[0] or e[1] is None or e[3] > d[3] or e[4] < d[4]:
+            return False
+        return (e[2], e[4] - e[3], -e[1]) > (d[2], d[4] - d[3], -d[1])
+
+    kept = [d for d in rows if d[1] is None or not any(falls(d, e) for e in rows)]
+    nulls_first = lambda d: (d[0], -1 if d[1] is None else d[1])
+    assert sorted((tuple(r) for r in licenses.outermost(found).collect()), key=nulls_first) == sorted(kept, key=nulls_first)
+
+
+def test_license_list_of_great_length(spark):
+    n = 20_000
+    begun = time.time()
+    (row,) = licenses.scan(frame(spark, "licensed under the mit license and " * n)).collect()
+    assert len(row.detections) == n and row.labels == "mit" and row.n_words == 6 * n
+    assert [d["first"] for d in row.detections[:3]] == [0, 6, 12]
+    assert time.time() - begun < 60
+
+
 def test_license_rules(licensed):
     assert [r.labels for r in licensed] == ["cc-by,cc-by-nc-4.0", "mit", "gpl-2.0", "apache-2.0", "mpl-2.0", ""]
     assert licensed[5].score == 0 and licensed[2].score == 1
