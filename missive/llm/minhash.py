@@ -138,13 +138,26 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.array(a)[keep], pa.int64()), pa.array(np.array(b)[keep], pa.int64())], names=["a", "b"])
 
 
+def _one_document(signed: DataFrame, placed: DataFrame) -> DataFrame:
+    """placed(node, component) with the components joined that one id has texts in."""
+    several = signed.filter("node IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("node").alias("one"), F.max("node").alias("other")).filter("one != other")
+    several = common.stored(several.select("doc_id"))
+    if several.isEmpty():
+        return placed
+    # a component is named by the least id in it, so an id stands for its own component too
+    links = signed.join(several, "doc_id").join(placed, "node").select(F.col("component").alias("a"), F.col("doc_id").alias("b"))
+    joined = graph.components(links).select(F.col("id").alias("component"), F.col("component").alias("joined"))
+    return common.stored(placed.join(joined, "component", "left").select("node", F.coalesce("joined", "component").alias("component")))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row for each row of docs(doc_id, text): n_shingles, component_id, kept.
 
     Texts that are null, empty or without words have no shingles and are linked
     with nothing; neither are rows with a null doc_id (their component_id is
     null, they are kept). Rows that repeat an id and a text share their result;
-    rows that repeat an id with other texts are one document, linked by any of them.
+    rows that repeat an id with other texts are one document, linked by any of them:
+    all its rows with words have one component.
     """
     common.prepare(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -165,7 +178,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     found = graph.grouped(records, F.col("bands"), near, verified)
     placed = nodes.select("node", "id").join(found, "id", "left").select("node", F.coalesce("component", "id").alias("component"))
-    out = signed.select("doc_id", "n_shingles", "node").join(common.stored(placed), "node", "left")
+    placed = _one_document(signed, common.stored(placed))
+    out = signed.select("doc_id", "n_shingles", "node").join(placed, "node", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
