@@ -22,6 +22,7 @@ from missive import schema
 from missive.operators import custody, normalize
 from missive.session import Files
 from missive.sources import backup, ranges
+from missive.streaming.progress import Progress
 
 BUCKETS = 64
 #: Media are cut into chunks, so that a range of bytes is read from its own.
@@ -128,13 +129,14 @@ class Store:
 
     # -------------------------------------------------------- writes
 
-    def append(self, found: DataFrame, source: str = "", number: int | None = None) -> DataFrame:
+    def append(self, found: DataFrame, source: str = "", number: int | None = None, progress: Progress | None = None) -> DataFrame:
         """Import files(path, content), or pieces of files of any size (`ranges.PIECES`):
         what is new, and a row of imports for each file without an error. Returns the log
         (FILES) of the batch.
 
         A duplicate counts in its file's chain and record count, but is stored once. Batch
         `number` of a source is imported once: again, its log is returned and nothing done.
+        A progress follows the reading of pieces, and is exact when this returns.
         """
         before = self.state()
         last = before["sources"].get(source)
@@ -143,7 +145,11 @@ class Store:
         batch = uuid.uuid4().hex
         held: list[DataFrame] = []
         try:
-            counts = self._written(found, batch, before, source, number, held)
+            counts = self._written(found, batch, before, source, number, held, progress)
+        except BaseException:
+            if progress is not None:
+                progress.drop()
+            raise
         finally:
             for df in held:
                 df.unpersist()
@@ -151,13 +157,13 @@ class Store:
         self._commit(before, before | {"batches": [*before["batches"], batch], "sources": sources, "last_id": before["last_id"] + counts[0], "last_import": before["last_import"] + counts[1]})
         return self._read("files", [batch])
 
-    def _written(self, found: DataFrame, batch: str, before: dict, source: str, number: int | None, held: list[DataFrame]) -> tuple[int, int]:
+    def _written(self, found: DataFrame, batch: str, before: dict, source: str, number: int | None, held: list[DataFrame], progress: Progress | None) -> tuple[int, int]:
         def hold(df: DataFrame) -> DataFrame:
             held.append(df.persist())
             return held[-1]
 
         if "piece" in found.columns:
-            elements = ranges.elements(found, keep=True)
+            elements = ranges.elements(found, keep=True, progress=progress)
             held.append(elements.scanned)
             raw, hashes = hold(ranges.until_error(elements)), hold(ranges.file_hashes(found))
         else:
@@ -181,6 +187,8 @@ class Store:
         log = status.join(rows.groupBy("file").agg(F.count("*").alias("records")), "file", "left")
         log = log.select("file", "status", F.coalesce("records", F.lit(0)).alias("records"), F.lit(source).alias("source"), F.lit(number).cast("long").alias("number"), F.current_timestamp().alias("logged_at"))
         self._write(log, "files", batch)
+        if progress is not None and "piece" in found.columns:
+            progress.end()
         return n, m
 
     def _own(self, name: str, before: dict, buckets: DataFrame) -> DataFrame:

@@ -22,6 +22,7 @@ import re
 import xml.etree.ElementTree as ET
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import pandas as pd
 import pyarrow as pa
@@ -31,6 +32,7 @@ from pyspark.sql import functions as F
 
 from missive.schema import RAW
 from missive.sources import backup
+from missive.streaming.progress import Progress
 
 PIECES = "path string, size long, block long, piece binary"
 #: XML files, in any case, but no dot files.
@@ -41,6 +43,7 @@ SENT = 100_000
 HASHED = 1 << 20
 
 _IN_TAG = re.compile(rb"""(?:[^"'>]++|"[^"]*+"|'[^']*+')*+""")
+_COUNT = re.compile(rb"""\scount\s*=\s*["']([0-9]{1,18})["']""")
 _CLOSED_BY = {"comment": b"-->", "cdata": b"]]>", "pi": b"?>"}
 _OPENED_BY = ((b"!--", "comment"), (b"![CDATA[", "cdata"), (b"?", "pi"))
 #: What a tag that goes on over a "<" may be: a start tag, one of a wanted kind, an end tag, a declaration, one without a name.
@@ -285,6 +288,7 @@ class _Reader:
         self.headless = block == 0
         self.open_at = None if place["open_at"] < 0 else place["open_at"]
         self.counted = False  # whether the open element has its ordinal from this range
+        self.root: bytes | None = None  # the tag of the document's element, if it is here
         self.kind: str | None = None
         self.start: int | None = None  # where it begins, if it does so here
         self.held: list[bytes] | None = [] if self.open_at is not None or self.state[:4] == "want" else None
@@ -312,6 +316,8 @@ class _Reader:
             self.held, self.start, self.kind = [], at, backup.NAME.match(piece)[0].rpartition(b":")[2].decode()
         if self.held is not None:
             self.held.append(b"<" + piece)
+        if event not in ("shut", "fail") and end > 0 and piece[:1] != b"!" and not self.depth and before == "text" and self.root is None:
+            self.root = piece[:end]
         if event == "fail":
             yield self._error("tag without name")
         elif event == "shut":
@@ -337,6 +343,13 @@ class _Reader:
         self.open_at, self.held, self.counted, self.kind, self.start = None, None, False, None, None
         return row
 
+    def said(self) -> Iterator[dict]:
+        """What the document's element says of itself: its name, and how many records follow."""
+        if self.root is not None:
+            count = _COUNT.search(self.root)
+            attrs = {"name": backup.NAME.match(self.root)[0].rpartition(b":")[2].decode(errors="replace")} | ({"count": count[1].decode()} if count else {})
+            yield self._row("root", None, self.place["offset"], self.place["offset"]) | {"ordinal": -1, "attrs": attrs}
+
     def end(self) -> Iterator[dict]:
         if self.place["tail"]:
             yield from self.take(b"")
@@ -361,16 +374,16 @@ def _read(rows: Iterator[tuple[str, int, bytes, dict | None]]) -> Iterator[dict]
     for path, block, piece, place in rows:
         if now is None or (now.path, now.block) != (path, block):
             if now is not None:
-                yield from now.end()
+                yield from chain(now.end(), now.said())
             now = _Reader(path, block, place)
         yield from now.take(piece)
     if now is not None:
-        yield from now.end()
+        yield from chain(now.end(), now.said())
 
 
 def _decoded(rows: Iterator[dict]) -> Iterator[dict]:
     for row in rows:
-        if row["kind"] != "error" and not row["part"]:
+        if row["kind"] not in ("error", "root") and not row["part"]:
             try:
                 attrs, row["parts"], row["addrs"] = backup.decode(row["raw"])
                 row["attrs"] = attrs
@@ -383,8 +396,22 @@ def _batches(rows: Iterator[dict]) -> Iterator[pa.RecordBatch]:
     return backup.batches(_decoded(rows), schema=_ARROW)
 
 
-def scanned(found: DataFrame) -> DataFrame:
-    """RAW rows of the elements that lie within one range, the parts of the others, and errors."""
+def _metered(batches: Iterator[pa.RecordBatch], meter: tuple | None) -> Iterator[pa.RecordBatch]:
+    """The same batches; a meter takes up what they announce and the records that begin in them."""
+    for batch in batches:
+        if meter is not None:
+            for kind, part, start, attrs in zip(*(batch.column(c).to_pylist() for c in ("kind", "part", "start", "attrs")), strict=True):
+                if kind == "root":
+                    meter[0].add(int(dict(attrs).get("count", 0)))
+                elif kind != "error" and (not part or start is not None):
+                    meter[1].add(1)
+        yield batch
+
+
+def scanned(found: DataFrame, meter: tuple | None = None) -> DataFrame:
+    """RAW rows of the elements that lie within one range, the parts of the others, errors, and
+    for each file that has it a row of kind "root" with its first element's name and count. A
+    meter is two accumulators, of records announced and read (`Progress.counters`)."""
     columns = ["path", "block", "piece"]
     places = placed(found)
     rows = places.limit(SENT + 1).collect()
@@ -394,7 +421,7 @@ def scanned(found: DataFrame) -> DataFrame:
         def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             known = sent.value
             each = (tuple(c.as_py() for c in row) for b in batches for row in zip(*(b.column(c) for c in columns), strict=True))
-            yield from _batches(_read((p, b, piece, known.get((p, b))) for p, b, piece in each))
+            yield from _metered(_batches(_read((p, b, piece, known.get((p, b))) for p, b, piece in each)), meter)
 
         return found.select(*columns).mapInArrow(read, _OUT)
 
@@ -402,7 +429,7 @@ def scanned(found: DataFrame) -> DataFrame:
 
     def read_joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         each = (row for b in batches for row in b.select([*columns, "place"]).to_pylist())
-        yield from _batches(_read((r["path"], r["block"], r["piece"], r["place"]) for r in each))
+        yield from _metered(_batches(_read((r["path"], r["block"], r["piece"], r["place"]) for r in each)), meter)
 
     place = F.when(F.col("entry").isNotNull(), F.struct(*names)).alias("place")
     numbered = found.select(*columns, F.monotonically_increasing_id().alias("at"))
@@ -410,11 +437,12 @@ def scanned(found: DataFrame) -> DataFrame:
     return dealt.sortWithinPartitions("path", "block", "at").mapInArrow(read_joined, _OUT)
 
 
-def elements(found: DataFrame, keep: bool = False) -> DataFrame:
+def elements(found: DataFrame, keep: bool = False, progress: Progress | None = None) -> DataFrame:
     """RAW rows of PIECES. Rows after a file's first error are not left out where the error
     is in an element's own text: see `until_error`. With keep the scan's rows are held on
-    disk, as `result.scanned`, for the caller to unpersist; without it, it runs twice."""
-    rows = scanned(found)
+    disk, as `result.scanned`, for the caller to unpersist; without it, it runs twice. A
+    progress is told what the scan meets."""
+    rows = scanned(found) if progress is None else progress.begin(scanned(found, progress.counters()))
     if keep:
         rows = rows.persist(StorageLevel.DISK_ONLY)
     columns = [f.split(" ")[0] for f in ("file", "ordinal", "kind", "start", "stop", "raw", "attrs", "parts", "addrs", "status")]
@@ -426,7 +454,7 @@ def elements(found: DataFrame, keep: bool = False) -> DataFrame:
         yield from _batches(blank | r | {"raw": b"".join(p["raw"] for p in r.pop("pieces"))} for b in batches for r in b.to_pylist())
 
     whole = parts.filter("start IS NOT NULL AND stop IS NOT NULL").withColumnRenamed("parts", "pieces").mapInArrow(assemble, _OUT)
-    out = rows.filter("NOT part").select(*columns).unionByName(whole.select(*columns))
+    out = rows.filter("NOT part AND kind != 'root'").select(*columns).unionByName(whole.select(*columns))
     out.scanned = rows
     return out
 
@@ -437,6 +465,32 @@ def until_error(rows: DataFrame) -> DataFrame:
     return rows.join(first, "file", "left").filter("last_ordinal IS NULL OR ordinal < last_ordinal OR (ordinal = last_ordinal AND kind = 'error')").select(*rows.columns)
 
 
+#: The order of a whole document's records, and the name of its first element: fixed values.
+KIND_ORDER = ("sms", "mms", "call")
+ROOT = "smses"
+
+
+def documents(found: DataFrame) -> DataFrame:
+    """RAW rows of PIECES as whole documents, with `kind_order`: a document's order is by
+    kind_order and ordinal. A file is taken whole or not at all: one with an error, or whose
+    first element is not ROOT, gives one row of kind "error" and no other. Files without any
+    element are refused too. The scan is held on disk, as `result.scanned`."""
+    rows = elements(found, keep=True)
+    first_error = rows.filter("kind = 'error'").groupBy("file").agg(F.min_by("status", "ordinal").alias("wrong"))
+    roots = rows.scanned.filter("kind = 'root'").groupBy("file").agg(F.min_by(F.col("attrs")["name"], "start").alias("name"))
+    files = found.select(F.col("path").alias("file")).distinct().join(first_error, "file", "left").join(roots, "file", "left")
+    reason = F.coalesce("wrong", F.when(F.col("name").isNull(), "no element").when(F.col("name") != ROOT, F.concat(F.lit("root is "), "name")))
+    bad = files.select("file", reason.alias("wrong")).filter("wrong IS NOT NULL")
+    kept = rows.filter("kind != 'error'").join(bad, "file", "left_anti")
+    types = dict(kept.dtypes)
+    said = {"kind": F.lit("error"), "ordinal": F.lit(0), "status": F.col("wrong"), "file": F.col("file")}
+    refused = bad.select(*[said.get(c, F.lit(None)).cast(types[c]).alias(c) for c in kept.columns])
+    order = F.array_position(F.array(*[F.lit(k) for k in KIND_ORDER]), F.col("kind")).cast("int")
+    out = kept.unionByName(refused).withColumn("kind_order", order)
+    out.scanned = rows.scanned
+    return out
+
+
 # ------------------------------------------------------------ hashes of files
 
 

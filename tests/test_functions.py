@@ -135,6 +135,8 @@ def test_jobs(spark):
     jobs = ingest.Jobs()
     done = spark.createDataFrame([("f", "completed", 2)], "file string, status string, records long")
     job = jobs.submit("ann", "p", lambda: done)
+    jobs.wait(job, 60)
     assert jobs.status("ann", job)["records"] == 2 and jobs.status("bob", job) is None
     bad = jobs.submit("ann", "p", lambda: 1 / 0)
+    jobs.wait(bad, 60)
     assert jobs.status("ann", bad)["status"] == "error"
