@@ -369,16 +369,17 @@ class _Reader:
 _ARROW = pa.schema([*backup.ARROW, ("block", pa.int64()), ("part", pa.bool_())])
 
 
-def _read(rows: Iterator[tuple[str, int, bytes, dict | None]]) -> Iterator[dict]:
+def _read(rows: Iterator[tuple[str, int, bytes, dict | None]], roots: bool = False) -> Iterator[dict]:
+    """Rows of each range; with roots, also what the documents' elements say."""
     now: _Reader | None = None
     for path, block, piece, place in rows:
         if now is None or (now.path, now.block) != (path, block):
             if now is not None:
-                yield from chain(now.end(), now.said())
+                yield from chain(now.end(), now.said() if roots else ())
             now = _Reader(path, block, place)
         yield from now.take(piece)
     if now is not None:
-        yield from chain(now.end(), now.said())
+        yield from chain(now.end(), now.said() if roots else ())
 
 
 def _decoded(rows: Iterator[dict]) -> Iterator[dict]:
@@ -421,7 +422,7 @@ def scanned(found: DataFrame, meter: tuple | None = None) -> DataFrame:
         def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             known = sent.value
             each = (tuple(c.as_py() for c in row) for b in batches for row in zip(*(b.column(c) for c in columns), strict=True))
-            yield from _metered(_batches(_read((p, b, piece, known.get((p, b))) for p, b, piece in each)), meter)
+            yield from _metered(_batches(_read(((p, b, piece, known.get((p, b))) for p, b, piece in each), roots=True)), meter)
 
         return found.select(*columns).mapInArrow(read, _OUT)
 
@@ -429,7 +430,7 @@ def scanned(found: DataFrame, meter: tuple | None = None) -> DataFrame:
 
     def read_joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         each = (row for b in batches for row in b.select([*columns, "place"]).to_pylist())
-        yield from _metered(_batches(_read((r["path"], r["block"], r["piece"], r["place"]) for r in each)), meter)
+        yield from _metered(_batches(_read(((r["path"], r["block"], r["piece"], r["place"]) for r in each), roots=True)), meter)
 
     place = F.when(F.col("entry").isNotNull(), F.struct(*names)).alias("place")
     numbered = found.select(*columns, F.monotonically_increasing_id().alias("at"))
