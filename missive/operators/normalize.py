@@ -66,9 +66,9 @@ def first_media(parts: Column) -> Column:
     return F.when(first.isNotNull(), F.struct(first["ct"].alias("media_type"), F.try_to_binary(first["data"], F.lit("base64")).alias("media_data")))
 
 
-def messages(raw: DataFrame) -> DataFrame:
+def messages(raw: DataFrame, *more: str) -> DataFrame:
     """MESSAGES columns (id aside), the file, ordinal and decoded media of every
-    element whose date parses."""
+    element whose date parses, and more columns of raw."""
     kind = F.col("kind")
     found = participants(F.col("addrs"))
     own = phone.normalize(_attr("address"))
@@ -112,4 +112,4 @@ def messages(raw: DataFrame) -> DataFrame:
         "content_hash": F.sha2("raw", 256),
     }
     types = {f.name: f.dataType for f in MESSAGES}
-    return rows.select("file", "ordinal", *[c.cast(types[n]).alias(n) for n, c in out.items()], F.col("media.media_data").alias("media_data"))
+    return rows.select("file", "ordinal", *more, *[c.cast(types[n]).alias(n) for n, c in out.items()], F.col("media.media_data").alias("media_data"))

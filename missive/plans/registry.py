@@ -491,6 +491,8 @@ def xml_import_mms(spark, sf_dir):
     return rows.select(*own, F.array_join("addresses", ",").alias("addresses"), F.decode("media_data", "UTF-8").alias("media"))
 
 
+#: Tasks that write backup files.
+WRITERS = 50
 #: Mixed backups: messages, multimedia and calls of a thread in one file, as real ones are.
 _MIXED = f"""{WITH}, e AS (SELECT *, CASE record_type WHEN 1 THEN {_SMS} WHEN 2 THEN {_MMS} ELSE {_CALL} END AS raw FROM messages),
 mixed AS (SELECT id, record_type, date, type, concat('thread_id=', thread_id) AS file, row_number() OVER w - 1 AS ordinal, sha256(raw) AS content_hash, duration,
@@ -500,12 +502,16 @@ CASE record_type WHEN 1 THEN body WHEN 2 THEN trim(concat(body, '  and ', id)) E
 
 
 def _written(spark: SparkSession, sf_dir: str) -> str:
-    """A folder with a mixed backup file for each thread."""
+    """A folder with a mixed backup file for each thread, written line by line: no file is one value."""
     kind = F.col("record_type")
     raw = F.when(kind == 1, _sms()).when(kind == 2, _mms()).otherwise(_call())
     folder = f"{shared_folder(spark)}/backups-{uuid.uuid4().hex}"
-    texts = _backups(messages(spark, sf_dir).select("id", "thread_id", raw.alias("raw")))
-    texts.select(F.decode("content", "UTF-8").alias("value"), F.regexp_extract("path", r"\d+", 0).alias("thread_id")).write.partitionBy("thread_id").text(folder)
+    rows = messages(spark, sf_dir).select("thread_id", F.lit(1).alias("part"), "id", raw.alias("value"))
+    ends = F.explode(F.array(*[F.struct(F.lit(part).alias("part"), F.lit(None).cast("long").alias("id"), F.lit(text.strip("\n")).alias("value")) for part, text in ((0, _HEAD), (2, _FOOT))]))
+    rows = rows.filter("value IS NOT NULL").unionByName(rows.select("thread_id").distinct().select("thread_id", ends.alias("end")).select("thread_id", "end.*"))
+    # a number of its own, so that a thread's lines stay in one task and its file
+    order = ["thread_id", "part", "id"]
+    rows.repartition(WRITERS, "thread_id").sortWithinPartitions(*order).select("value", "thread_id").write.partitionBy("thread_id").text(folder)
     return folder
 
 
@@ -517,9 +523,7 @@ def _thread() -> Column:
 def xml_import_ranges(spark, sf_dir):
     """Mixed backup files, cut at byte ranges of 16 kB that most elements know nothing of."""
     raw = ranges.elements(ranges.pieces(spark, _written(spark, sf_dir), 16 << 10, "*.txt"))
-    rows = normalize.messages(raw).withColumn("file", _thread())
-    spans = raw.select(_thread().alias("file"), "ordinal", "start", "stop")
-    return rows.join(spans, ["file", "ordinal"]).select("file", "ordinal", "start", "stop", "record_type", "address", "date", "type", "body", "duration", "content_hash")
+    return normalize.messages(raw, "start", "stop").withColumn("file", _thread()).select("file", "ordinal", "start", "stop", "record_type", "address", "date", "type", "body", "duration", "content_hash")
 
 
 @query(

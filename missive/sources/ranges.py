@@ -10,6 +10,9 @@ ranges of a file then gives the state, depth, place and next ordinal at which ea
 really entered, and a second pass takes out the elements. An element that crosses ranges
 comes out in parts, which are put together by its ordinal.
 
+Ranges are what can be read apart, not what a task is started for: small ones share a
+task, and those of a task that follow each other in a file are read as one.
+
 The results are those of `backup.records` over the whole file. No file content is ever
 one value, and nothing is shuffled but elements that cross ranges. An empty file has no
 pieces and leaves no trace.
@@ -19,13 +22,14 @@ from __future__ import annotations
 
 import hashlib
 import re
-import xml.etree.ElementTree as ET
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
-from itertools import chain
+from itertools import chain, groupby, islice, pairwise
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,18 +38,24 @@ from missive.schema import RAW
 from missive.sources import backup
 from missive.streaming.progress import Progress
 
-PIECES = "path string, size long, block long, piece binary"
+PIECES = "path string, size long, block long, until long, piece binary"
 #: XML files, in any case, but no dot files.
 NAMES = "[!.]*.[xX][mM][lL]"
 #: Ranges whose places are sent to every task (some 100 bytes each); with more of them the pieces are shuffled to their range.
 SENT = 100_000
+#: Bytes of ranges that share a task, at the least number of tasks for each core.
+TASK, TASKS = 32 << 20, 3
+#: Elements that are decoded together.
+DECODED = 100
 #: Bytes of a file that are hashed at a time.
 HASHED = 1 << 20
 
 _IN_TAG = re.compile(rb"""(?:[^"'>]++|"[^"]*+"|'[^']*+')*+""")
+#: Markup from its "<" on: what has its own ending, else what a tag begins with (nothing: no name, or one that a "<" follows) and its ">".
+_MARKUP = re.compile(rb"<(?:(!--|!\[CDATA\[|\?)|(?=(/|!|[^\s/><]++(?=[\s/>])|))" + _IN_TAG.pattern + rb"(>?))")
 _COUNT = re.compile(rb"""\scount\s*=\s*["']([0-9]{1,18})["']""")
 _CLOSED_BY = {"comment": b"-->", "cdata": b"]]>", "pi": b"?>"}
-_OPENED_BY = ((b"!--", "comment"), (b"![CDATA[", "cdata"), (b"?", "pi"))
+_OPENED_BY = {b"!--": "comment", b"![CDATA[": "cdata", b"?": "pi"}
 #: What a tag that goes on over a "<" may be: a start tag, one of a wanted kind, an end tag, a declaration, one without a name.
 _TAGS = ("open", "want", "shut", "else", "void")
 STATES = ["text", *_CLOSED_BY, *[tag + quote for tag in _TAGS for quote in ("", '"', "'")]]
@@ -59,53 +69,89 @@ def pieces(spark: SparkSession, path: str | list[str], range_bytes: int | None =
     if range_bytes:
         own.conf.set("spark.sql.files.maxPartitionBytes", str(range_bytes))
         own.conf.set("spark.sql.files.openCostInBytes", "0")
-    return cut(own.read.option("lineSep", "<").option("pathGlobFilter", names).text(path))
+    lines = own.read.option("lineSep", "<").option("pathGlobFilter", names).text(path)
+    if range_bytes and range_bytes < TASK:
+        least = TASKS * spark.sparkContext.defaultParallelism
+        lines = lines.coalesce(max(least, -(-lines.rdd.getNumPartitions() * range_bytes // TASK)))
+    return cut(lines)
 
 
 def cut(lines: DataFrame) -> DataFrame:
     """PIECES of lines that a text reader, of a table or a stream, splits at "<"."""
     at = F.col("_metadata")
-    return lines.select(at["file_path"].alias("path"), at["file_size"].alias("size"), at["file_block_start"].alias("block"), F.col("value").cast("binary").alias("piece"))
-
-
-# ------------------------------------------------------------ one piece
-
-
-def _tag(piece: bytes, at: int, tag: str) -> tuple[str, str | None, int]:
-    """(state, event, end) of a tag that goes on at `at`, outside quotes."""
-    end = _IN_TAG.match(piece, at).end()
-    if end == len(piece):
-        return tag, None, -1
-    if piece[end] != 0x3E:
-        return tag + chr(piece[end]), None, -1
-    single = end > 0 and piece[end - 1] == 0x2F
-    event = {"open": None if single else "open", "want": "solo" if single else "want", "shut": "shut", "else": None, "void": "fail"}[tag]
-    return "text", event, end + 1
-
-
-def step(state: str, piece: bytes) -> tuple[str, str | None, int]:
-    """The state after a "<" and a piece, entered in a state; the event (open, want, solo,
-    shut or fail) of the tag that ends in it, and where it ends, else -1."""
-    if state == "text":
-        for opening, kind in _OPENED_BY:
-            if piece.startswith(opening):
-                end = piece.find(_CLOSED_BY[kind], len(opening))
-                return ("text", None, -1) if end >= 0 else (kind, None, -1)
-        if piece.startswith(b"/"):
-            return _tag(piece, 0, "shut")
-        if piece.startswith(b"!"):
-            return _tag(piece, 0, "else")
-        name = backup.NAME.match(piece)
-        if not name or name.end() == len(piece):  # a "<" follows
-            return _tag(piece, 0, "void")
-        return _tag(piece, 0, "want" if name[0].rpartition(b":")[2] in backup.KINDS else "open")
+    block = at["file_block_start"]
+    return lines.select(at["file_path"].alias("path"), at["file_size"].alias("size"), block.alias("block"), (block + at["file_block_length"]).alias("until"), F.col("value").cast("binary").alias("piece"))
+
+
+def _stretches(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[tuple[list, list[bytes]]]:
+    """The pieces of one range that stand together in a batch, with its path, block and names."""
+    for batch in batches:
+        n = batch.num_rows
+        if n:
+            path, block = batch.column("path"), batch.column("block").to_numpy()
+            new = (block[1:] != block[:-1]) | pc.not_equal(path.slice(1), path.slice(0, n - 1)).to_numpy(zero_copy_only=False)
+            pieces = batch.column("piece").to_pylist()
+            for first, end in pairwise([0, *(np.flatnonzero(new) + 1).tolist(), n]):
+                yield [batch.column(c)[first].as_py() for c in ("path", "block", *names)], pieces[first:end]
+
+
+# ------------------------------------------------------------ pieces, entered in one state
+
+
+def _left(state: str, data: bytes, known: dict[str, int]) -> int:
+    """Where data, entered inside markup, leaves it: after its ending, or for a tag at its ">" or
+    at the quote that does not end; else the length of data. What holds for all tags is known."""
     if state in _CLOSED_BY:
-        return ("text", None, -1) if piece.find(_CLOSED_BY[state]) >= 0 else (state, None, -1)
-    tag, quote = state[:4], state[4:]
-    if not quote:
-        return _tag(piece, 0, tag)
-    end = piece.find(quote.encode())
-    return (state, None, -1) if end < 0 else _tag(piece, end + 1, tag)
+        end = data.find(_CLOSED_BY[state])
+        return len(data) if end < 0 else end + len(_CLOSED_BY[state])
+    quote = state[4:]
+    if quote not in known:
+        at = data.find(quote.encode()) + 1 if quote else 0
+        known[quote] = -1 if quote and not at else _IN_TAG.match(data, at).end()
+    return known[quote]
+
+
+def _event(tag: str, single: bool) -> str | None:
+    return {"open": "leaf" if single else "open", "want": "solo" if single else "want", "shut": "shut", "else": None, "void": "fail"}[tag]
+
+
+def advance(state: str, data: bytes, known: dict[str, int] | None = None) -> tuple[list[tuple[str, int, int]], str, int]:
+    """Of pieces with a "<" before each, entered in a state: the events (open, want, leaf, solo,
+    shut or fail), each with the places of its tag's "<" (-1 if it began before) and of what
+    follows its ">"; the state after them; and where a tag that goes on begins, or -1."""
+    found, at = [], 0
+    if state != "text":
+        at = _left(state, data, {} if known is None else known)
+        if state in _CLOSED_BY:
+            if at == len(data) and not data.endswith(_CLOSED_BY[state]):
+                return found, state, -1
+        elif at < 0 or at == len(data):
+            return found, state if at < 0 else state[:4], -1
+        elif data[at] != 0x3E:
+            return found, state[:4] + chr(data[at]), -1
+        else:
+            event = _event(state[:4], at > 0 and data[at - 1] == 0x2F)
+            at += 1
+            if event:
+                found.append((event, -1, at))
+    search, add, wanted = _MARKUP.search, found.append, backup.KINDS
+    while match := search(data, at):
+        opening, name, end = match.groups()
+        begin, at = match.span()
+        if opening:
+            kind = _OPENED_BY[opening]
+            at = data.find(_CLOSED_BY[kind], at) + len(_CLOSED_BY[kind])
+            if at < len(_CLOSED_BY[kind]):
+                return found, kind, -1
+            continue
+        tag = "shut" if name == b"/" else "else" if name == b"!" else "void" if not name else "want" if name in wanted or name.rpartition(b":")[2] in wanted else "open"
+        if not end:
+            return found, tag if at == len(data) else tag + chr(data[at]), begin
+        if tag == "shut":
+            add(("shut", begin, at))
+        elif event := _event(tag, data[at - 2] == 0x2F):
+            add((event, begin, at))
+    return found, "text", -1
 
 
 # ------------------------------------------------------------ a range, entered in any state
@@ -127,7 +173,7 @@ class Effect:
     failed: bool = False
 
     def take(self, event: str | None, end: int) -> None:
-        if self.failed or event is None:
+        if self.failed or event == "leaf":
             return
         if event == "fail":
             self.failed = True
@@ -189,17 +235,27 @@ class _Range:
         self.entries = {s: _Run(s) for s in STATES}
         self.live = list(self.entries.values())
         self.headless = block == 0  # the first piece of a file follows no "<"
+        self.most = 1  # pieces until runs are looked at again: they meet early or seldom
 
-    def take(self, piece: bytes) -> None:
-        self.bytes += len(piece) + 1
+    def take(self, *pieces: bytes) -> None:
+        at = 0
         if self.headless:
-            self.headless = False
-            return
-        place = self.bytes - len(piece) - (self.block == 0)  # of the piece in the range
+            self.headless, at = False, 1
+            self.bytes += len(pieces[0]) + 1
+        while at < len(pieces):
+            self._take(b"<" + b"<".join(pieces[at : at + self.most]))
+            at, self.most = at + self.most, 2 * self.most
+
+    def _take(self, data: bytes) -> None:
+        place = self.bytes - (self.block == 0)  # of the data in the range
+        self.bytes += len(data)
         by: dict[str, list[_Run]] = {}
+        known: dict[str, int] = {}
         for run in self.live:
-            run.state, event, end = step(run.state, piece)
-            run.effect.take(event, place + end)
+            events, run.state, _ = advance(run.state, data, known)
+            take = run.effect.take
+            for event, _, end in events:
+                take(event, place + end)
             by.setdefault(run.state, []).append(run)
         if len(by) < len(self.live):
             self.live = []
@@ -224,16 +280,16 @@ _RANGE = pa.schema([("path", pa.string()), ("size", pa.int64()), ("block", pa.in
 _RANGE_DDL = "path string, size long, block long, bytes long, ways array<struct<entry: string, state: string, delta: long, begun: long, open: boolean, open_at: long, stop: long, failed: boolean, low_begun: array<long>, low_place: array<long>>>"
 
 
-def _surveyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _surveyed(batches: Iterator[pa.RecordBatch], together: bool) -> Iterator[pa.RecordBatch]:
     now: _Range | None = None
-    for batch in batches:
-        for path, size, block, piece in zip(*(batch.column(c) for c in ("path", "size", "block", "piece")), strict=True):
-            key = (path.as_py(), block.as_py())
-            if now is None or (now.path, now.block) != key:
-                if now is not None:
-                    yield pa.RecordBatch.from_pylist([now.row()], schema=_RANGE)
-                now = _Range(key[0], size.as_py(), key[1])
-            now.take(piece.as_py())
+    last = next_ = None
+    for (path, block, size, until), pieces in _stretches(batches, ["size", "until"]):
+        if (path, block) != last and not (together and (path, block) == next_):
+            if now is not None:
+                yield pa.RecordBatch.from_pylist([now.row()], schema=_RANGE)
+            now = _Range(path, size, block)
+        last, next_ = (path, block), (path, until)
+        now.take(*pieces)
     if now is not None:
         yield pa.RecordBatch.from_pylist([now.row()], schema=_RANGE)
 
@@ -263,11 +319,11 @@ def _folded(ranges: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=[c.split()[0] for c in _PLACED.split(", ")])
 
 
-def placed(found: DataFrame) -> DataFrame:
+def placed(found: DataFrame, together: bool = False) -> DataFrame:
     """For each range of PIECES the state in which it is entered, the depth, that of the open
     element (or -1), the next ordinal, the offset of its first "<", and where the last
-    element ended."""
-    ranges = found.select("path", "size", "block", "piece").mapInArrow(_surveyed, _RANGE_DDL)
+    element ended. With together, ranges of a task that follow each other are one."""
+    ranges = found.select("path", "size", "block", "until", "piece").mapInArrow(lambda batches: _surveyed(batches, together), _RANGE_DDL)
     return ranges.groupBy("path").applyInPandas(_folded, _PLACED)
 
 
@@ -302,43 +358,52 @@ class _Reader:
         self.over = True
         return self._row("error", None, self.stop, self.stop, what)
 
-    def take(self, piece: bytes) -> Iterator[dict]:
-        if self.over:
-            return
+    def take(self, *pieces: bytes) -> Iterator[dict]:
         if self.headless:
             self.headless = False
-            self.at += len(piece)
+            self.at += len(pieces[0])
+            pieces = pieces[1:]
+        if self.over or not pieces:
             return
-        before, at = self.state, self.at
-        self.at += len(piece) + 1
-        self.state, event, end = step(before, piece)
-        if self.held is None and before == "text" and (self.state[:4] == "want" or event in ("want", "solo")):
-            self.held, self.start, self.kind = [], at, backup.NAME.match(piece)[0].rpartition(b":")[2].decode()
-        if self.held is not None:
-            self.held.append(b"<" + piece)
-        if event not in ("shut", "fail") and end > 0 and piece[:1] != b"!" and not self.depth and before == "text" and self.root is None:
-            self.root = piece[:end]
-        if event == "fail":
-            yield self._error("tag without name")
-        elif event == "shut":
-            self.depth -= 1
-            if self.depth < 0:
-                yield self._error("end tag without element")
-            elif self.depth == self.open_at:
-                yield self._ended(at, end)
-        elif event in ("want", "solo") and self.open_at is None:
-            self.open_at, self.counted = self.depth, True
-            if event == "solo":
-                yield self._ended(at, end)
-            else:
+        data, at = b"<" + b"<".join(pieces), self.at
+        self.at += len(data)
+        events, self.state, going = advance(self.state, data)
+        held = 0  # from where on the data is the open element's
+        for event, begin, end in events:
+            if self.held is None and begin >= 0 and event in ("want", "solo"):
+                held = self._begun(data, at, begin)
+            if self.root is None and not self.depth and begin >= 0 and event not in ("shut", "fail") and data.find(b"<", begin + 1, end) < 0:
+                self.root = data[begin + 1 : end]
+            if event == "fail":
+                yield self._error("tag without name")
+                return
+            if event == "shut":
+                self.depth -= 1
+                if self.depth < 0:
+                    yield self._error("end tag without element")
+                    return
+                if self.depth == self.open_at:
+                    yield self._ended(data[held:end], at + end)
+            elif event in ("want", "solo") and self.open_at is None:
+                self.open_at, self.counted = self.depth, True
+                if event == "solo":
+                    yield self._ended(data[held:end], at + end)
+                else:
+                    self.depth += 1
+            elif event in ("want", "open"):
                 self.depth += 1
-        elif event in ("want", "open"):
-            self.depth += 1
+        if self.held is None and going >= 0 and self.state[:4] == "want":
+            held = self._begun(data, at, going)
+        if self.held is not None:
+            self.held.append(data[held:])
+
+    def _begun(self, data: bytes, at: int, begin: int) -> int:
+        self.held, self.start, self.kind = [], at + begin, backup.NAME.match(data, begin + 1)[0].rpartition(b":")[2].decode()
+        return begin
 
-    def _ended(self, at: int, end: int) -> dict:
-        self.held[-1] = self.held[-1][: 1 + end]
-        self.stop = at + 1 + end
-        row = self._row(self.kind, b"".join(self.held), self.start, self.stop)
+    def _ended(self, rest: bytes, stop: int) -> dict:
+        self.stop = stop
+        row = self._row(self.kind, b"".join([*self.held, rest]), self.start, self.stop)
         self.ordinal += self.counted
         self.open_at, self.held, self.counted, self.kind, self.start = None, None, False, None, None
         return row
@@ -370,27 +435,40 @@ _ARROW = pa.schema([*backup.ARROW, ("block", pa.int64()), ("part", pa.bool_())])
 
 
 def _read(rows: Iterator[tuple[str, int, bytes, dict | None]], roots: bool = False) -> Iterator[dict]:
-    """Rows of each range; with roots, also what the documents' elements say."""
+    """Rows of each range, by its pieces and its place; with roots, also what the documents' elements say."""
+    for (path, block), own in groupby(rows, lambda r: r[:2]):
+        reader = None
+        for _, _, piece, place in own:
+            reader = reader or _Reader(path, block, place)
+            yield from reader.take(piece)
+        yield from chain(reader.end(), reader.said() if roots else ())
+
+
+def _read_together(batches: Iterator[pa.RecordBatch], places: dict[tuple[str, int], dict]) -> Iterator[dict]:
+    """Rows of ranges, and what the documents' elements say; those that follow each other are one."""
     now: _Reader | None = None
-    for path, block, piece, place in rows:
-        if now is None or (now.path, now.block) != (path, block):
+    last = next_ = None
+    for (path, block, until), pieces in _stretches(batches, ["until"]):
+        if (path, block) != last and (path, block) != next_:
             if now is not None:
-                yield from chain(now.end(), now.said() if roots else ())
-            now = _Reader(path, block, place)
-        yield from now.take(piece)
+                yield from chain(now.end(), now.said())
+            now = _Reader(path, block, places.get((path, block)))
+        last, next_ = (path, block), (path, until)
+        yield from now.take(*pieces)
     if now is not None:
-        yield from chain(now.end(), now.said() if roots else ())
+        yield from chain(now.end(), now.said())
 
 
-def _decoded(rows: Iterator[dict]) -> Iterator[dict]:
-    for row in rows:
-        if row["kind"] not in ("error", "root") and not row["part"]:
-            try:
-                attrs, row["parts"], row["addrs"] = backup.decode(row["raw"])
-                row["attrs"] = attrs
-            except (ET.ParseError, UnicodeDecodeError) as e:
-                row |= {"kind": "error", "raw": None, "start": row["stop"], "status": str(e)}
-        yield row
+def _decoded(rows: Iterable[dict]) -> Iterator[dict]:
+    rows = iter(rows)
+    while some := list(islice(rows, DECODED)):
+        own = [row for row in some if row["kind"] not in ("error", "root") and not row["part"]]
+        for row, said in zip(own, backup.decode_all([row["raw"] for row in own]), strict=True):
+            if isinstance(said, Exception):
+                row |= {"kind": "error", "raw": None, "start": row["stop"], "status": str(said)}
+            else:
+                row["attrs"], row["parts"], row["addrs"] = said
+        yield from some
 
 
 def _batches(rows: Iterator[dict]) -> Iterator[pa.RecordBatch]:
@@ -409,45 +487,56 @@ def _metered(batches: Iterator[pa.RecordBatch], meter: tuple | None) -> Iterator
         yield batch
 
 
-def scanned(found: DataFrame, meter: tuple | None = None) -> DataFrame:
-    """RAW rows of the elements that lie within one range, the parts of the others, errors, and
-    for each file that has it a row of kind "root" with its first element's name and count. A
-    meter is two accumulators, of records announced and read (`Progress.counters`)."""
+def _scan(found: DataFrame) -> Callable[..., DataFrame]:
+    """A scan(parts, meter) of PIECES whose places are known: all rows, or only parts of elements."""
     columns = ["path", "block", "piece"]
-    places = placed(found)
-    rows = places.limit(SENT + 1).collect()
+    rows = placed(found, together=True).limit(SENT + 1).collect()
+
+    def out(rows: Iterator[dict], parts: bool, meter: tuple | None) -> Iterator[pa.RecordBatch]:
+        return _metered(_batches(r for r in rows if r["part"] or not parts), meter)
+
     if len(rows) <= SENT:
         sent = found.sparkSession.sparkContext.broadcast({(r["path"], r["block"]): r.asDict() for r in rows})
 
-        def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            known = sent.value
-            each = (tuple(c.as_py() for c in row) for b in batches for row in zip(*(b.column(c) for c in columns), strict=True))
-            yield from _metered(_batches(_read(((p, b, piece, known.get((p, b))) for p, b, piece in each), roots=True)), meter)
+        def scan(parts: bool = False, meter: tuple | None = None) -> DataFrame:
+            return found.select(*columns, "until").mapInArrow(lambda batches: out(_read_together(batches, sent.value), parts, meter), _OUT)
 
-        return found.select(*columns).mapInArrow(read, _OUT)
+        return scan
 
+    places = placed(found)
     names = [c for c in places.columns if c not in columns]
-
-    def read_joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        each = (row for b in batches for row in b.select([*columns, "place"]).to_pylist())
-        yield from _metered(_batches(_read(((r["path"], r["block"], r["piece"], r["place"]) for r in each), roots=True)), meter)
-
     place = F.when(F.col("entry").isNotNull(), F.struct(*names)).alias("place")
     numbered = found.select(*columns, F.monotonically_increasing_id().alias("at"))
-    dealt = numbered.join(places, ["path", "block"], "left").select(*columns, "at", place).repartition("path", "block")
-    return dealt.sortWithinPartitions("path", "block", "at").mapInArrow(read_joined, _OUT)
+    dealt = numbered.join(places, ["path", "block"], "left").select(*columns, "at", place).repartition("path", "block").sortWithinPartitions("path", "block", "at")
+
+    def scan_joined(parts: bool = False, meter: tuple | None = None) -> DataFrame:
+        def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            each = (row for b in batches for row in b.select([*columns, "place"]).to_pylist())
+            return out(_read(((r["path"], r["block"], r["piece"], r["place"]) for r in each), roots=True), parts, meter)
+
+        return dealt.mapInArrow(read, _OUT)
+
+    return scan_joined
+
+
+def scanned(found: DataFrame, meter: tuple | None = None) -> DataFrame:
+    """RAW rows of the elements that lie within one range, the parts of the others, errors, and
+    for each file that has it a row of kind "root" with its first element's name and count. A
+    meter is two accumulators, of records announced and read (`Progress.counters`)."""
+    return _scan(found)(meter=meter)
 
 
 def elements(found: DataFrame, keep: bool = False, progress: Progress | None = None) -> DataFrame:
     """RAW rows of PIECES. Rows after a file's first error are not left out where the error
     is in an element's own text: see `until_error`. With keep the scan's rows are held on
-    disk, as `result.scanned`, for the caller to unpersist; without it, it runs twice. A
-    progress is told what the scan meets."""
-    rows = scanned(found) if progress is None else progress.begin(scanned(found, progress.counters()))
+    disk, as `result.scanned`, for the caller to unpersist; without it, files are read again for
+    parts of elements. A progress is told what the scan meets."""
+    scan = _scan(found)
+    rows = scan() if progress is None else progress.begin(scan(meter=progress.counters()))
     if keep:
         rows = rows.persist(StorageLevel.DISK_ONLY)
     columns = [f.split(" ")[0] for f in ("file", "ordinal", "kind", "start", "stop", "raw", "attrs", "parts", "addrs", "status")]
-    parts = rows.filter("part").groupBy("file", "ordinal").agg(F.max("kind").alias("kind"), F.max("start").alias("start"), F.max("stop").alias("stop"), F.array_sort(F.collect_list(F.struct("block", "raw"))).alias("parts"))
+    parts = (rows if keep else scan(parts=True)).filter("part").groupBy("file", "ordinal").agg(F.max("kind").alias("kind"), F.max("start").alias("start"), F.max("stop").alias("stop"), F.array_sort(F.collect_list(F.struct("block", "raw"))).alias("parts"))
     # an element of which the beginning or the end is missing was cut short by an error
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

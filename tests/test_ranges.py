@@ -98,3 +98,23 @@ def test_spark_reads_ranges(spark, inbox, monkeypatch, size, sent):
 def test_no_range_is_read_otherwise_than_it_was_surveyed():
     with pytest.raises(RuntimeError, match="cut otherwise"):
         list(ranges._read([("f", 0, b"", None)]))
+
+
+def test_small_ranges_share_tasks(spark, inbox):
+    """A file of many ranges is no task for each of them, and those of a task are surveyed as one."""
+    found = ranges.pieces(spark, inbox[0], 100)
+    tasks = found.rdd.getNumPartitions()
+    assert tasks <= ranges.TASKS * spark.sparkContext.defaultParallelism < found.select("path", "block").distinct().count()
+    assert ranges.placed(found, together=True).count() <= tasks + len(inbox[1])
+    assert ranges.placed(found).count() == found.select("path", "block").distinct().count()
+
+
+def test_elements_decoded_together():
+    raws = [b"<sms a='1'/>", b"<x:mms b='&#55357;'><parts><part ct='t'/></parts></x:mms>", b"<sms a='&bad;'/>", b"<call c='3'></sms>", b"<sms d='4'>x</sms>"]
+    for some in (raws, raws[:2], raws[::4], []):
+        for raw, got in zip(some, backup.decode_all(some), strict=True):
+            if isinstance(got, Exception):
+                with pytest.raises(type(got), match=str(got)):
+                    backup.decode(raw)
+            else:
+                assert got == backup.decode(raw)
