@@ -150,3 +150,17 @@ def test_byte_ranges():
     for bad in ("bytes=5-", "bytes=3-1", "items=0-1", "bytes=a-"):
         with pytest.raises(ValueError):
             reads.byte_range(bad, 5)
+
+
+def test_contents_are_split_by_chunks(spark):
+    """Files longer than a chunk, one with an error before others, one empty and one without content, in one task."""
+    own = b"<sms address='1' date='1000' body='" + b"y" * 700 + b"'/>"
+    made = {"a": b"<smses>" + own * 40 + b"</smses>", "b": own * 9 + b"</x>" + own * 20, "c": b"", "d": own * 8, "e": None}
+    found = spark.createDataFrame([(n, None if c is None else bytearray(c)) for n, c in made.items()], "path string, content binary").coalesce(1)
+    sizes = [len(r.chunk) for r in backup.chunked(found).collect()]
+    assert max(sizes) == backup.SENT and sum(sizes) == sum(len(c or b"") for c in made.values())
+    got = {n: [] for n in made}
+    for r in backup.split(found).collect():
+        got[r.file].append((r.ordinal, r.kind, r.start, r.stop, None if r.raw is None else bytes(r.raw), r.status))
+    for name, data in made.items():
+        assert got[name] == [(r["ordinal"], r["kind"], r["start"], r["stop"], r["raw"], r["status"]) for r in backup.records([data or b""], name)]
