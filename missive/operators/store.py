@@ -165,7 +165,7 @@ class Store:
         if "piece" in found.columns:
             elements = ranges.elements(found, keep=True, progress=progress)
             held.append(elements.scanned)
-            raw, hashes = hold(ranges.until_error(elements)), hold(ranges.file_hashes(found))
+            raw, hashes = ranges.until_error(elements, held=True), hold(ranges.file_hashes(found))
         else:
             raw, hashes = hold(backup.split(found)), hold(backup.file_hashes(found))
         rows = hold(normalize.messages(raw))
@@ -193,7 +193,7 @@ class Store:
 
     def _own(self, name: str, before: dict, buckets: DataFrame) -> DataFrame:
         """Stored rows in the buckets of a batch, of which there are BUCKETS at most."""
-        own = [r["bucket"] for r in buckets.distinct().collect()]
+        own = [r["bucket"] for r in buckets.distinct().collect()] if before["batches"] else []
         return self._read(name, before["batches"]).filter(F.col("bucket").isin(own))
 
     def compact(self) -> None:

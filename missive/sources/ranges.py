@@ -549,9 +549,17 @@ def elements(found: DataFrame, keep: bool = False, progress: Progress | None = N
     return out
 
 
-def until_error(rows: DataFrame) -> DataFrame:
-    """RAW rows up to the first error of each file, which ends it. rows are read twice."""
+def until_error(rows: DataFrame, held: bool = False) -> DataFrame:
+    """RAW rows up to the first error of each file, which ends it. rows are read twice. With held,
+    which says that they are kept, they are looked at first: the errors of up to SENT files are
+    sent to every task, so that rows stay where they are and a large file is not one task's."""
     first = rows.filter("kind = 'error'").groupBy("file").agg(F.min("ordinal").alias("last_ordinal"))
+    if held:
+        found = first.limit(SENT + 1).collect()
+        if len(found) <= SENT:
+            if not found:
+                return rows
+            first = F.broadcast(rows.sparkSession.createDataFrame(found, first.schema))
     return rows.join(first, "file", "left").filter("last_ordinal IS NULL OR ordinal < last_ordinal OR (ordinal = last_ordinal AND kind = 'error')").select(*rows.columns)
 
 
@@ -591,16 +599,16 @@ def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def out() -> pa.RecordBatch:
         return pa.RecordBatch.from_pydict({"path": [key[0]], "size": [key[1]], "block": [key[2]], "n": [n], "bytes": [b"".join(held)]}, schema=_CHUNK)
 
-    for batch in batches:
-        for *now, piece in zip(*(batch.column(c).to_pylist() for c in ("path", "size", "block", "piece")), strict=True):
-            if now != key or size >= HASHED:
-                if held:
-                    yield out()
-                n, held, size = (n + 1 if now == key else 0), [], 0
-            headless = now != key and now[2] == 0
-            key = now
-            held.append(piece if headless else b"<" + piece)
-            size += len(piece) + 1
+    for (path, block, whole), pieces in _stretches(batches, ["size"]):
+        now = (path, whole, block)
+        if now != key or size >= HASHED:
+            if held:
+                yield out()
+            n, held, size = (n + 1 if now == key else 0), [], 0
+        data = b"<".join(pieces)
+        held.append(data if now != key and block == 0 else b"<" + data)
+        key = now
+        size += len(data) + 1
     if held:
         yield out()
 

@@ -118,3 +118,23 @@ def test_elements_decoded_together():
                     backup.decode(raw)
             else:
                 assert got == backup.decode(raw)
+
+
+def test_held_rows_are_not_dealt_by_file(spark, tmp_path):
+    """Rows up to each file's first error, without all rows of a large file in one task."""
+    home = tmp_path / "in"
+    home.mkdir()
+    one = b'<sms address="1" date="1000" body="x" />'
+    (home / "good.xml").write_bytes(b"<smses>" + one * 50 + b"</smses>")
+    (home / "bad.xml").write_bytes(b"<smses>" + one * 30 + b'<sms body="&nothing;" />' + one * 20 + b"</smses>")
+    rows = ranges.elements(ranges.pieces(spark, str(home), 200), keep=True)
+    held = ranges.until_error(rows, held=True)
+    plan = held._jdf.queryExecution().optimizedPlan().toString()
+    assert "rightHint=(strategy=broadcast)" in plan
+    by = lambda found: sorted((r.file.rpartition("/")[2], r.ordinal, r.kind) for r in found.collect())
+    got = by(held)
+    assert got == by(ranges.until_error(rows)) and [sum(r[0] == n for r in got) for n in ("bad.xml", "good.xml")] == [31, 50]
+    good = ranges.elements(ranges.pieces(spark, str(home / "good.xml"), 200), keep=True)
+    assert ranges.until_error(good, held=True) is good
+    rows.scanned.unpersist()
+    good.scanned.unpersist()
