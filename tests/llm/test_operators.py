@@ -709,3 +709,22 @@ def test_pipeline_edge_cases(spark, tmp_path):
             before, docs = docs, common.stored(stage(spark, docs, SF))
             assert docs.columns == before.columns and docs.count() <= before.count(), name
         assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() == docs.count()
+
+
+def test_finer_keys_of_lines_join_nothing_by_word(spark):
+    """Near pairs share a finer key, and words are counted in a bounded number of cells."""
+    rng = np.random.default_rng(11)
+    rows = []
+    for n in range(60):
+        line = [f"w{rng.integers(300)}" for _ in range(20)]
+        copy = list(line)
+        for at in rng.choice(20, 4, replace=False):
+            copy[at] = f"new{rng.integers(1 << 40)}"
+        rows += [(2 * n, False, line), (2 * n + 1, False, copy)]
+    forms = spark.createDataFrame(rows, "id long, unspaced boolean, words array<string>")
+    found = linededup._rarest(forms, forms.select("id"))
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    keys = collections.defaultdict(set)
+    for r in found.collect():
+        keys[r.id].add(r.key)
+    assert all(keys[2 * n] & keys[2 * n + 1] for n in range(60))
