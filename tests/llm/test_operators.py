@@ -728,3 +728,28 @@ def test_finer_keys_of_lines_join_nothing_by_word(spark):
     for r in found.collect():
         keys[r.id].add(r.key)
     assert all(keys[2 * n] & keys[2 * n + 1] for n in range(60))
+
+
+def test_long_lines_with_few_words_in_common_are_no_candidates(spark):
+    """What goes on to the texts is not each two long lines that share a key."""
+    rng = np.random.default_rng(12)
+    word = lambda: f"word{rng.integers(1 << 40)}"
+    shared = [word() for _ in range(40)]
+    lines = [[word() for _ in range(60)] for _ in range(8)]
+    copy = list(lines[0])
+    for at in rng.choice(60, 10, replace=False):
+        copy[at] = word()
+    # two words of a line, the first of the order, stand in each of the others
+    first = sorted(shared, key=lambda w: spark.range(1).select(F.hash(F.lit(w))).first()[0])[:2]
+    lines = [first + line[2:] for line in lines] + [first + copy[2:]]
+    signed = linededup.lines(frame(spark, *map(" ".join, lines))).withColumn("id", F.col("doc_id"))
+    ends = [signed.select(*[F.col(c).alias(f"{c}_{x}") for c in ("id", "size", "taken", *linededup._SIGNATURE)]) for x in "ab"]
+    met = ends[0].join(ends[1], F.col("id_a") < F.col("id_b")).filter(linededup._alike("_a", "_b")).collect()
+    assert [(r.id_a, r.id_b) for r in met] == [(0, 8)]
+
+
+def test_plans_of_lines_hold_no_alphabet(spark):
+    """Spark keeps the text of many plans in the driver."""
+    pairs = spark.createDataFrame([(["a", "b"], "ab", ["a", "c"], "ac")], "words_a array<string>, form_a string, words_b array<string>, form_b string")
+    assert len(linededup._near_words(pairs)._jdf.queryExecution().toString()) < 100_000
+    assert len(pairs.select(linededup._form(F.col("words_a")))._jdf.queryExecution().toString()) < 20_000
