@@ -85,7 +85,8 @@ class Model:
 def _unpacked(packed: np.ndarray) -> np.ndarray:
     """Presence rows of unit length from bitmaps."""
     rows = np.unpackbits(packed, axis=1).astype(np.float32)
-    return rows / np.sqrt(np.maximum(rows.sum(axis=1, keepdims=True), 1))
+    rows /= np.sqrt(np.maximum(rows.sum(axis=1, keepdims=True), 1))
+    return rows
 
 
 def solve(packed: np.ndarray, labels: np.ndarray, languages: list[str]) -> Model:
@@ -104,7 +105,9 @@ def solve(packed: np.ndarray, labels: np.ndarray, languages: list[str]) -> Model
     weight = share[labels][:, None] * len(labels) / len(languages)
     gram = across.T @ (across * weight) + RIDGE * len(labels) / 100 * among + 1e-6 * np.eye(len(marks))
     alpha = np.linalg.solve(gram.astype(np.float64), (across.T @ (target * weight)).astype(np.float64))
-    return Model(languages, (marks.T @ alpha).astype(np.float32))
+    # some buckets at a time, as marks take twice their room in the precision of alpha
+    weights = [(marks[:, i : i + 2048].T @ alpha).astype(np.float32) for i in range(0, BUCKETS, 2048)]
+    return Model(languages, np.concatenate(weights))
 
 
 def fit(rows: DataFrame) -> Model:
@@ -124,7 +127,9 @@ def fit(rows: DataFrame) -> Model:
     if not sample:
         return Model([], np.zeros((BUCKETS, 0), np.float32))
     packed = np.frombuffer(b"".join(bytes(r["bits"]) for r in sample), np.uint8).reshape(len(sample), -1)
-    return solve(packed, np.array([languages.index(r["lang"]) for r in sample]), languages)
+    labels = np.array([languages.index(r["lang"]) for r in sample])
+    del sample
+    return solve(packed, labels, languages)
 
 
 def identify(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:

@@ -753,3 +753,16 @@ def test_plans_of_lines_hold_no_alphabet(spark):
     pairs = spark.createDataFrame([(["a", "b"], "ab", ["a", "c"], "ac")], "words_a array<string>, form_a string, words_b array<string>, form_b string")
     assert len(linededup._near_words(pairs)._jdf.queryExecution().toString()) < 100_000
     assert len(pairs.select(linededup._form(F.col("words_a")))._jdf.queryExecution().toString()) < 20_000
+
+
+def test_language_model_fits_in_little_memory():
+    """The landmarks are held once, in single precision."""
+    import tracemalloc
+
+    rng = np.random.default_rng(13)
+    packed = rng.integers(0, 256, (500, langid.BUCKETS // 8), dtype=np.uint8)
+    tracemalloc.start()
+    model = langid.solve(packed, np.arange(500) % 3, ["a", "b", "c"])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert model.weights.shape == (langid.BUCKETS, 3) and peak < 100e6, peak
