@@ -766,3 +766,34 @@ def test_language_model_fits_in_little_memory():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert model.weights.shape == (langid.BUCKETS, 3) and peak < 100e6, peak
+
+
+def test_lines_with_a_passage_in_common_are_no_candidates(spark):
+    """Bits of lines tell those that share half of their words from near ones, and lose no near one."""
+    rng = np.random.default_rng(14)
+    word = lambda: f"word{rng.integers(1 << 40)}"
+    passage, rows = [word() for _ in range(40)], []
+    for n in range(40):
+        line = passage + [word() for _ in range(40)]
+        copy = list(line)
+        for at in rng.choice(80, 16, replace=False):
+            copy[at] = word()
+        rows += [(2 * n, False, line), (2 * n + 1, False, copy)]
+    forms = spark.createDataFrame(rows, "id long, unspaced boolean, words array<string>")
+    found = linededup._rarest(forms, forms.select("id")).records
+    ends = [found.select(*[F.col(c).alias(f"{c}_{x}") for c in found.columns]) for x in "ab"]
+    near = ends[0].join(ends[1], F.col("id_a") < F.col("id_b")).filter(linededup._close("_a", "_b"))
+    assert {(r.id_a, r.id_b) for r in near.collect()} == {(2 * n, 2 * n + 1) for n in range(40)}
+
+
+def test_words_are_counted_in_levels(spark):
+    words = spark.createDataFrame([(n % 700,) for n in range(1000)] + [(5000,)] * 64, "word int")
+    levels = linededup._levels(words, 1 << 14)
+    assert len(levels) == 1 << 14 and {levels[n] for n in range(300)} == {33 + 4} and {levels[n] for n in range(300, 700)} == {33}
+    assert levels[5000] == 33 + 24 and levels[6000] == 33
+
+
+def test_later_links_join_components(spark):
+    found = common.stored(spark.createDataFrame([(1, 1), (2, 1), (5, 5), (6, 5), (9, 8), (8, 8)], "id long, component long"))
+    links = common.stored(spark.createDataFrame([(2, 6), (3, 9), (4, 7)], "a long, b long"))
+    assert {(r.id, r.component) for r in graph._joined(found, links).collect()} == {(1, 1), (2, 1), (5, 1), (6, 1), (3, 3), (8, 3), (9, 3), (4, 4), (7, 4)}
